@@ -63,3 +63,19 @@ def texts_of(column: pa.Array) -> list[str]:
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of the texts; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
+
+
+class Memo:
+    """What a worker remembers by key: two generations of ``limit`` entries or so; the older one goes when the younger is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that must be worked out and put into ``now``; all others are in there after this."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        new = keys.difference(self.now)
+        again = {k: self.old[k] for k in new.intersection(self.old)} if self.old else {}
+        self.now.update(again)
+        return list(new.difference(again))

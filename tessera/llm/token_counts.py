@@ -20,11 +20,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import text_slices, texts_of
+from tessera.llm.common import Memo, text_slices, texts_of
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Distinct pre-tokens that a worker remembers; beyond that it forgets all and goes on.
-MEMO = 1 << 19
+#: Distinct pre-tokens in each generation of what a worker remembers.
+MEMO = 400_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -54,7 +54,7 @@ class MergeTable:
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(MEMO)
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """The number of symbols that are left of each word (of one byte at least)."""
@@ -89,12 +89,10 @@ class MergeTable:
             parts = self.special.split(text) if self.special else [text]
             extra.append(len(parts) - 1)
             split.append([w for part in parts for w in self.pattern.findall(part)])
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set().union(*split).difference(self.memo))
+        new = self.memo.missing(set().union(*split))
         if new:
-            self.memo.update(zip(new, self.count([w.encode() for w in new]).tolist(), strict=True))
-        of = self.memo.__getitem__
+            self.memo.now.update(zip(new, self.count([w.encode() for w in new]).tolist(), strict=True))
+        of = self.memo.now.__getitem__
         return [n + sum(map(of, words)) for n, words in zip(extra, split, strict=True)]
 
 

@@ -1,21 +1,32 @@
 """Ids of the word-level BPE vocabulary through the tokenizers library, an end id after each document.
 
 No token crosses a space or a line feed and normalisation keeps both as white space, so the library's ids of a text are those of the
-parts between them, one after the other. A worker remembers parts that it has seen and hands the library only new ones.
+chunks between them, one after the other. A worker remembers chunks that it has seen. A new chunk of Latin letters, digits and
+punctuation is split as the library splits it, and only words that are new as well go to the library, many at once: each
+of them ends with an id of a word's end. All other chunks go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import regex
+
+from tessera.llm.common import Memo
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-MEMO = 1 << 19
+#: Chunks, and words, in each generation of what a worker remembers.
+MEMO = 400_000
+#: How the vocabulary's file splits a chunk.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Chunks of these have no combining marks, and no capital whose lower case has one.
+PLAIN = r"[!-~\u00A1-\u012F]*"
+LOWER_A_TO_Z = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
 
 
 class WordEncoder:
@@ -26,22 +37,62 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, tuple[int, ...]] = {"": ()}
         if any(x.lstrip or x.rstrip or " " in x.content or "\n" in x.content for x in self.library.get_added_tokens_decoder().values()):
             raise ValueError(f"{path}: special tokens of this vocabulary take up white space")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x.get("pattern", {}).get("Regex") for x in spec["pre_tokenizer"]["pretokenizers"]]
+        self.by_words = kinds[0] == ["NFC", "Replace", "Lowercase"] and str(kinds[1][0]).replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") == WORDS
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = "<|"
+        self.split_words, self.plain = regex.compile(WORDS).findall, regex.compile(PLAIN).fullmatch
+        self.chunks, self.words = Memo(MEMO), Memo(MEMO)
+
+    def one_by_one(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, from texts of many words."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                out += self.one_by_one(part)
+            else:
+                data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        whole, split = [], []
+        for chunk in new:
+            text = chunk.decode()
+            if self.by_words and text.isascii() and text.islower() and (text.isalpha() or text[:-1].isalpha() and text[-1] in ",.;:"):
+                split.append((chunk, [text] if text.isalpha() else [text[:-1], text[-1]]))
+            elif self.by_words and self.special not in text and self.plain(text):
+                split.append((chunk, self.split_words(text)))
+            else:
+                whole.append((chunk, text))
+        words = self.words.missing(set().union(*(w for _, w in split)))
+        self.words.now.update(zip(words, self.encode_words(words), strict=True))
+        of = self.words.now.__getitem__
+        self.chunks.now.update((chunk, b"".join(map(of, words))) for chunk, words in split)
+        self.chunks.now.update(zip((c for c, _ in whole), self.one_by_one([t for _, t in whole]), strict=True))
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit integers, with the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {"": ()}
-        new = list(set().union(*split).difference(self.memo))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.memo.update((w, tuple(e.ids)) for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True))
-        end = () if end_id is None else (end_id,)
-        of = self.memo.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(of, words)), end), "<u4") for words in split]
+        # lower case A to Z is what normalisation makes anyhow, unless the text may hold a special string
+        split = [t.encode().replace(b"\n", b" ").split(b" ") if self.special in t else t.encode().translate(LOWER_A_TO_Z).split(b" ") for t in texts]
+        new = self.chunks.missing(set().union(*split))
+        if new:
+            self.learn(new)
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        of = self.chunks.now.__getitem__
+        return [np.frombuffer(b"".join(map(of, words)) + end, "<u4") for words in split]
 
 
 @functools.cache
