@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import orc_ids, packing, piece_codec, token_counts
+from tessera.llm import exact_dedup, orc_ids, packing, piece_codec, secrets, token_counts
 from tessera.llm.common import shared_dir, table
 
 
@@ -22,6 +22,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark) + "/ids.orc"
     orc_ids.write_ids(table(spark, sf_dir, "documents"), path)
@@ -29,8 +37,8 @@ def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_packing, op8_orc_ids)}
+    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_packing, op5_secret_scans, op7_exact_dedup, op8_orc_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scans": secrets.oracle(), "op7_exact_dedup": exact_dedup.ORACLE}
