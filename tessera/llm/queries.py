@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, orc_ids, packing, piece_codec, secrets, token_counts
+from tessera.llm import exact_dedup, language, orc_ids, packing, piece_codec, secrets, tiff, token_counts
 from tessera.llm.common import shared_dir, table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.read_pages(tiff.write_media(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"]))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_pieces(table(spark, sf_dir, "documents")))
 
@@ -36,8 +40,12 @@ def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.id_checksums(orc_ids.read_ids(spark, path))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op4_packing, op5_secret_scans, op7_exact_dedup, op8_orc_ids)}
+    return {f.__name__: f for f in (op1_token_counts, op2_tiff_pages, op3_sentencepiece, op4_packing, op5_secret_scans, op7_exact_dedup, op8_orc_ids, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
