@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, language, orc_ids, packing, piece_codec, secrets, tiff, token_counts
+from tessera.llm import exact_dedup, language, ngram_join, orc_ids, packing, piece_codec, secrets, tiff, token_counts
 from tessera.llm.common import shared_dir, table
 
 
@@ -30,6 +30,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -45,7 +49,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_tiff_pages, op3_sentencepiece, op4_packing, op5_secret_scans, op7_exact_dedup, op8_orc_ids, op9_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_tiff_pages, op3_sentencepiece, op4_packing, op5_secret_scans, op6_ngram_jaccard_join, op7_exact_dedup, op8_orc_ids, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,31 +77,29 @@ def lzw_decode(data: bytes) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes, at = [CLEAR], [0]  # each code, and its place after the last clear code
-    first = {bytes([b]): b for b in range(256)}
-    entries, n, text = first.copy(), 0, b""
-    for i in range(len(data)):
-        longer = text + data[i : i + 1]
-        if longer in entries:
-            text = longer
+    codes, starts = [CLEAR], [0]  # starts: the places of the clear codes
+    entries: dict[int, int] = {}  # a code and the byte after it
+    code, room = -1, TABLE - CLEAR - 4
+    for byte in data:
+        if code < 0:
+            code = byte
             continue
-        codes.append(entries[text])
-        at.append(n)
-        n += 1
-        entries[longer] = CLEAR + 1 + n
-        if n == TABLE - CLEAR - 4:
+        longer = entries.get(code << 8 | byte)
+        if longer is not None:
+            code = longer
+            continue
+        codes.append(code)
+        entries[code << 8 | byte] = CLEAR + 2 + len(entries)
+        if len(entries) == room:
+            starts.append(len(codes))
             codes.append(CLEAR)
-            at.append(n)
-            entries, n = first.copy(), 0
-        text = data[i : i + 1]
-    if text:
-        codes.append(entries[text])
-        at.append(n)
-        n += 1
-    codes.append(END)
-    at.append(n)
-    widths = LZW_WIDTHS[np.array(at)]
-    widths[0] = 9
+            entries = {}
+        code = byte
+    codes += [code, END] if code >= 0 else [END]
+    # a clear code itself still has the width that the codes before it have reached
+    at = np.arange(len(codes)) - np.repeat(np.array(starts) + 1, np.diff([*starts, len(codes)]))
+    at[starts] = [0, *(np.diff(starts) - 1)]
+    widths = LZW_WIDTHS[at]
     ends = np.cumsum(widths)
     place = np.arange(ends[-1]) - np.repeat(ends - widths, widths)
     bits = np.repeat(np.array(codes), widths) >> (np.repeat(widths, widths) - 1 - place) & 1
