@@ -236,7 +236,7 @@ def pivot_pairs(multi: DataFrame) -> DataFrame:
 
 def cross_pairs(multi: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a posting list, are in different components and pass the filters."""
-    held = multi.select("token", "id", "n", "pos").join(label.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = multi.select("token", "id", "n", "pos").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lists = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_lists = durable(held.join(lists, "token", "left_semi"))
     groups = open_lists.select("token", "component").distinct()
@@ -261,7 +261,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = durable(prefixes(docs, frequencies(docs, words, bits), words, least))
     classes = durable(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")).where("id is not null"))
     listed = classes.select("id", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x")).select("id", "n", "pos", F.col("x.prefix").alias("token"), F.col("x.parts").alias("split"))
-    part = F.when(F.col("split") > 0, F.pmod(F.xxhash64("id"), F.shiftleft(F.lit(1).cast("long"), F.col("split").cast("int")))).otherwise(F.lit(0))
+    part = F.expr("if(split > 0, pmod(xxhash64(id), shiftleft(1L, cast(split as int))), 0L)")
     members = Window.partitionBy("token", "part")
     pivot = F.min(F.struct(F.hash("id").alias("order"), "id", "n", "pos")).over(members)
     multi = listed.withColumn("part", part).withColumn("pivot", pivot).withColumn("many", F.count(F.lit(1)).over(members)).where("many > 1 or split > 0")
@@ -271,7 +271,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = durable(verified(durable(cross_pairs(multi, label)), docs, words, least))
     if not more.isEmpty():
         label = components(links.union(more))
-    found = classes.select("k1", "k2", "n", "id", "rows").join(label.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = classes.select("k1", "k2", "n", "id", "rows").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     told = found.where("rows > 1 or component <> id").select("k1", "k2", "n", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = sets.select("id", "n", "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(told, ["k1", "k2", "n", "salt"], "left")
