@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, language, ngram_join, orc_ids, packing, piece_codec, secrets, tiff, token_counts
+from tessera.llm import exact_dedup, language, ngram_join, orc_ids, packing, piece_codec, secrets, suffix_dedup, tiff, token_counts
 from tessera.llm.common import shared_dir, table
 
 
@@ -48,8 +48,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_tiff_pages, op3_sentencepiece, op4_packing, op5_secret_scans, op6_ngram_jaccard_join, op7_exact_dedup, op8_orc_ids, op9_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_tiff_pages, op3_sentencepiece, op4_packing, op5_secret_scans, op6_ngram_jaccard_join, op7_exact_dedup, op8_orc_ids, op9_language_id, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
