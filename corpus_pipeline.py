@@ -1,3 +1,70 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: documents in, packed sequences out.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and returns a DataFrame; run() writes each result as Parquet into the
+folder that the cluster shares and reads it back for the next stage. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import exact_dedup, language, ngram_join, packing, secrets
+from tessera.llm.common import durable, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told (null, or no letter); profiles come from the rows that are not held out."""
+    profiles = language.fit(docs.where(~F.coalesce(language.held_out(), F.lit(False))))
+    columns = [c for c in COLUMNS if c != "text"] + ["text"]
+    told = language.identify(docs, profiles, columns=columns)
+    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each text, the one with the largest id."""
+    return exact_dedup.drop_copies(docs.select(*COLUMNS), keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of similar documents the one with the smallest id."""
+    others = ngram_join.similar_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks credentials that look live (few owners hold them); keeps every document. n_chars follows the text."""
+    found = secrets.find_secrets(docs).select("doc_id", F.filter("spans", lambda x: x["live"]).alias("live")).where("size(live) > 0")
+    spans = found.groupBy("doc_id").agg(F.first("live").alias("live"))
+    joined = docs.select(*COLUMNS).join(spans, "doc_id", "left")
+    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(secrets.mask(F.col("text"), F.col("live")))
+    n_chars = F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts documents into sequences of power-of-two lengths."""
+    return packing.digests(packing.pack(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
+]
+
+#: SQL can express neither the profiles' distances nor the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+    return docs
