@@ -31,10 +31,12 @@ from tessera.llm.ngram_join import BASE, POWERS, U, mixed
 
 LENGTH = 50
 GRAM = 20
-#: Distinct segments of one anchor from which a mixed bucket is dealt out by window.
+#: Distinct segments of one anchor, counted per batch, from which a mixed bucket is dealt out by window.
 MANY = 512
 #: Bytes of documents that segments are worked out for at once; a longer document is worked out alone.
 CHUNK = 1 << 20
+#: Bytes of mixed buckets that are refined at once; a larger bucket is refined alone.
+BLOCK = 1 << 20
 NONE, SAME, MIXED, DEALT = 0, 1, 2, 3
 LOWEST = np.iinfo(np.int64).min
 
@@ -128,7 +130,7 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
 
 def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by the keys (the last one first), and where groups of equals start in it."""
-    order = np.lexsort(keys)
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -184,15 +186,15 @@ def judge_anchors(table: pa.Table) -> pa.Table:
     key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     content, low, span = (np.concatenate([r[i] for r in read]) for i in (1, 2, 3))
     source = np.repeat(np.arange(len(read)), [len(r[0]) for r in read])
-    order, first = groups_of(content, key)
+    order, new_key = groups_of(key)
     if not len(order):
         return rows([])
     sorted_key, sorted_content = key[order], content[order]
-    new_key = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
     low_of, high_of = np.minimum.reduceat(low[order], new_key), np.maximum.reduceat((low + span)[order], new_key)
-    variants = np.add.reduceat(np.append(True, (sorted_content[1:] != sorted_content[:-1]) | (sorted_key[1:] != sorted_key[:-1])).astype(np.int64), new_key)
-    kind = np.where(low_of == high_of, NONE, np.where(variants == 1, SAME, np.where(variants <= MANY, MIXED, DEALT))).astype(np.uint8)
-    group = np.repeat(np.arange(len(new_key)), np.diff(np.append(new_key, len(order))))
+    size = np.diff(np.append(new_key, len(order)))
+    one = np.logical_and.reduceat(sorted_content == np.repeat(sorted_content[new_key], size), new_key)
+    kind = np.where(low_of == high_of, NONE, np.where(one, SAME, np.where(size <= MANY, MIXED, DEALT))).astype(np.uint8)
+    group = np.repeat(np.arange(len(new_key)), size)
     told = kind[group] != NONE
     group, to, names = group[told], source[order][told], sorted_key[told]
     part = table.column("part")[0].as_py()
@@ -270,7 +272,8 @@ def send_mixed(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     out = []
     for part, s in by_part(key[order]):
         own = order[s]
-        out.append((part, batch, packed(content[own], n[own].astype(np.int32), low[own], span[own]) + t.bytes_at(start[own], n[own] + LENGTH - 1).tobytes()))
+        names = key[own].astype(np.uint32)
+        out.append((part, batch, packed(np.diff(names, prepend=np.uint32(0)), content[own], n[own].astype(np.int32), low[own], span[own]) + t.bytes_at(start[own], n[own] + LENGTH - 1).tobytes()))
     return rows(out)
 
 
@@ -281,72 +284,93 @@ def bucket_pointers(data: np.ndarray, left: np.ndarray, length: int = LENGTH) ->
         gram[: len(data) - k] |= data[k:].astype(U) << U(8 * (7 - k))
     here = np.flatnonzero(left >= 8)
     pointer = np.zeros(len(data), np.int64)
-    order = here[np.argsort(gram[here], kind="stable")]
-    new = np.append(True, gram[order][1:] != gram[order][:-1]) if len(order) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(order)))
-    pointer[order] = np.repeat(first, size)
     alone = np.ones(len(data), bool)
-    alone[order] = np.repeat(size == 1, size)
+
+    def settle(order: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and size of each run of equal keys; places that are alone need no more sorting."""
+        first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(order) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(order)))
+        alone[order] = np.repeat(size == 1, size)
+        return first, size
+
+    order = here[np.argsort(gram[here])]
+    first, size = settle(order, gram[order])
+    pointer[order] = np.repeat(first, size)
     depth = 8
     while depth < length:
         step = min(depth, length - depth)
         here = np.flatnonzero((left >= depth + step) & ~alone)
-        order = here[np.lexsort((pointer[here + step], pointer[here]))]
-        if not len(order):
+        if not len(here):
             break
-        old, later = pointer[order], pointer[order + step]
+        key = pointer[here] * len(data) + pointer[here + step]
+        sort = np.argsort(key)
+        order, key = here[sort], key[sort]
+        old = pointer[order]
         bucket = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
-        new = np.append(True, (old[1:] != old[:-1]) | (later[1:] != later[:-1]))
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(order)))
+        first, size = settle(order, key)
         start = np.repeat(bucket, np.diff(np.append(bucket, len(order))))[first]
         # a bucket's pointer is its first place, so its parts get places inside it
         pointer[order] = old + np.repeat(first - start, size)
-        alone[order] = np.repeat(size == 1, size)
         depth += step
     return pointer
 
 
 def refine(table: pa.Table) -> pa.Table:
-    """For each batch's contents that hold a window which starts in a smaller id too: the smallest id of each of their windows."""
-    read = [unpacked(x, U, np.int32, np.int64, np.int64) for x in table.column("data").to_pylist()]
-    content, n, low, span = (np.concatenate([r[i] for r in read]) for i in range(4))
+    """For each batch's contents that hold a window which starts in a smaller id too: the smallest id of each of their windows.
+
+    Equal windows have equal anchors, so buckets are taken by anchor, BLOCK bytes at a time.
+    """
+    read = [unpacked(x, np.uint32, U, np.int32, np.int64, np.int64) for x in table.column("data").to_pylist()]
+    key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
+    content, n, low, span = (np.concatenate([r[i] for r in read]) for i in range(1, 5))
     n = n.astype(np.int64)
-    source = np.repeat(np.arange(len(read)), [len(r[0]) for r in read])
-    data = np.concatenate([r[4] for r in read])
+    data = np.concatenate([r[5] for r in read])
     size = n + LENGTH - 1
     at = np.cumsum(size) - size
-    left = np.repeat(at + size, size) - np.arange(len(data))
-    pointer = bucket_pointers(data, left)
-    places = ragged(at, n)
-    owner = np.repeat(np.arange(len(n)), n)
-    _, group = np.unique(pointer[places], return_inverse=True)
-    least = np.full(len(places), np.iinfo(np.int64).max)
-    np.minimum.at(least, group, low[owner])
-    least = least[group]
-    # a window of a content matters if one of the content's documents has a larger id than the window's smallest
-    told = np.zeros(len(n), bool)
-    np.logical_or.at(told, owner, least < (low + span)[owner])
+    order = np.argsort(key, kind="stable")
+    before = np.cumsum(size[order]) - size[order]
+    new_key = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+    block = np.maximum.accumulate(np.where(new_key, before // BLOCK, 0))
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(order) else []
+    owners, lengths, ids = [], [], []
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        e = order[a:b]
+        end = np.cumsum(size[e])
+        pointer = bucket_pointers(data[ragged(at[e], size[e])], np.repeat(end, size[e]) - np.arange(end[-1]))
+        place = pointer[ragged(end - size[e], n[e])]
+        owner = np.repeat(np.arange(len(e)), n[e])
+        least = np.full(len(pointer), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, low[e][owner])
+        least = least[place]
+        # a window of a content matters if one of the content's documents has a larger id than the window's smallest
+        told = np.logical_or.reduceat(least < (low + span)[e][owner], np.cumsum(n[e]) - n[e])
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])))
+        run = np.diff(np.append(first, len(owner)))
+        keep = told[owner[first]]
+        owners.append(e[owner[first]][keep])
+        lengths.append(run[keep].astype(np.int32))
+        ids.append(least[first][keep])
+    if not owners:
+        return rows([])
+    owner, length, least = np.concatenate(owners), np.concatenate(lengths), np.concatenate(ids)
+    order = np.argsort(owner, kind="stable")
+    owner, length, least = owner[order], length[order], least[order]
     part = table.column("part")[0].as_py()
-    batches = table.column("batch").to_pylist()
-    new = np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])) if len(owner) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    run_owner, run_least, run_length = owner[first], least[first], np.diff(np.append(first, len(owner)))
-    runs = np.bincount(run_owner, minlength=len(n))
+    ends = np.cumsum([0, *(len(r[0]) for r in read)])
+    cuts = np.searchsorted(owner, ends)
     out = []
-    for b in range(len(read)):
-        own = np.flatnonzero((source == b) & told)
-        if len(own):
-            mine = np.isin(run_owner, own)
-            out.append((part, batches[b], packed(content[own], runs[own].astype(np.int32)) + packed(run_length[mine].astype(np.int32), run_least[mine])))
+    for b, batch in enumerate(table.column("batch").to_pylist()):
+        own = slice(cuts[b], cuts[b + 1])
+        if cuts[b] < cuts[b + 1]:
+            entry, runs = np.unique(owner[own], return_counts=True)
+            out.append((part, batch, packed(content[entry], runs.astype(np.int32)) + packed(length[own], least[own])))
     return rows(out)
 
 
 def cut(table: pa.Table, told: pa.Table, parts: int) -> Iterator[tuple]:
     """For each document of the batch the mask of its bytes that go."""
     t = texts_of_batch(table, parts)
-    edge = np.zeros(len(t.data) + 1, np.int64)
+    edge = np.zeros(len(t.data) + 1, np.int32)
 
     def mark(start: np.ndarray, n: np.ndarray) -> None:
         np.add.at(edge, start, 1)
@@ -369,7 +393,7 @@ def cut(table: pa.Table, told: pa.Table, parts: int) -> Iterator[tuple]:
         inside = before - np.repeat(before[np.cumsum(runs) - runs], runs)
         go = least < np.repeat(ids, runs)
         mark((np.repeat(start, runs) + inside)[go], length[go])
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
     for i, text in enumerate(t.texts):
         yield t.texts[i], gone[t.at[i] : t.at[i + 1]]
 
@@ -380,9 +404,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Windows are judged on the input, not on what is left, and never cross documents. Rows that share an id don't count as repeats of each other;
     a null id counts as smaller than all others; a null text counts as empty; an empty table gives no rows; other columns of ``df`` are not read.
     """
-    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * batches
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
+    docs = docs.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
     sent = "part int, batch int, data binary"
     segments = docs.groupBy("batch").applyInArrow(lambda t: send_segments(t, parts), sent)
     anchors = segments.groupBy("part").applyInArrow(judge_anchors, sent).withColumn("refined", F.lit(False))
