@@ -27,6 +27,7 @@ LANGUAGES = 1000
 #: Distinct (language, n-gram) counts that a task gathers before it hands them on.
 GATHERED = 1 << 20
 BITS = 21  # a code point; three of them are an n-gram in 63 bits
+BORDER = 1  # not 0, so that n-grams of different lengths differ
 
 
 @functools.cache
@@ -35,16 +36,16 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The text's n-grams and their counts; words are runs of letters in lower case, with a border (0) on either side."""
+    """The text's n-grams and their counts; words are runs of letters in lower case, with a border on either side."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4").astype(np.int64)
-    points = np.where(letters()[points], points, 0) if len(points) else points
-    points = np.concatenate([[0], points, [0]])
-    points = points[np.append(True, (points[1:] != 0) | (points[:-1] != 0))]
+    points = np.where(letters()[points], points, BORDER) if len(points) else points
+    points = np.concatenate([[BORDER], points, [BORDER]])
+    points = points[np.append(True, (points[1:] != BORDER) | (points[:-1] != BORDER))]
     if len(points) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     two = points[:-1] << BITS | points[1:]
     three = two[:-1] << BITS | points[2:]
-    found = np.concatenate([points[points != 0], two[two > 0], three[points[1:-1] != 0]])  # none goes across a border
+    found = np.concatenate([points[points != BORDER], two, three[points[1:-1] != BORDER]])  # none goes across a border
     return np.unique(found, return_counts=True)
 
 
