@@ -154,8 +154,10 @@ def distinct(content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def by_part(key: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The slices of sorted keys that go to one part each."""
+    if not len(key):
+        return
     part = (key >> U(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
         yield int(part[a]), slice(int(a), int(b))
 
@@ -331,9 +333,9 @@ def refine(table: pa.Table) -> pa.Table:
     before = np.cumsum(size[order]) - size[order]
     new_key = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
     block = np.maximum.accumulate(np.where(new_key, before // BLOCK, 0))
-    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(order) else []
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(order)])
     owners, lengths, ids = [], [], []
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
         e = order[a:b]
         end = np.cumsum(size[e])
         pointer = bucket_pointers(data[ragged(at[e], size[e])], np.repeat(end, size[e]) - np.arange(end[-1]))
