@@ -20,8 +20,9 @@ from tessera.llm.common import Memo
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Chunks, and words, in each generation of what a worker remembers.
-MEMO = 400_000
+#: Chunks, and words (which cost more to work out), in each generation of what a worker remembers.
+MEMO = 300_000
+MEMO_WORDS = 600_000
 #: How the vocabulary's file splits a chunk.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Chunks of these have no combining marks, and no capital whose lower case has one.
@@ -48,7 +49,7 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = "<|"
         self.split_words, self.plain = regex.compile(WORDS).findall, regex.compile(PLAIN).fullmatch
-        self.chunks, self.words = Memo(MEMO), Memo(MEMO)
+        self.chunks, self.words = Memo(MEMO), Memo(MEMO_WORDS)
 
     def one_by_one(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
@@ -56,9 +57,9 @@ class WordEncoder:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids, from texts of many words."""
         out: list[bytes] = []
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, found in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):
                 out += self.one_by_one(part)
@@ -71,8 +72,9 @@ class WordEncoder:
         whole, split = [], []
         for chunk in new:
             text = chunk.decode()
-            if self.by_words and text.isascii() and text.islower() and (text.isalpha() or text[:-1].isalpha() and text[-1] in ",.;:"):
-                split.append((chunk, [text] if text.isalpha() else [text[:-1], text[-1]]))
+            core = text[:-1] if text[-1:] in (",", ".", ";", ":") else text
+            if self.by_words and core.isalpha() and max(core) < "\u0130":  # a word, as most chunks are
+                split.append((chunk, [text] if core is text else [core, text[-1]]))
             elif self.by_words and self.special not in text and self.plain(text):
                 split.append((chunk, self.split_words(text)))
             else:
