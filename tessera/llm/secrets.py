@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable
 
 KINDS = ("assign", "access", "hex", "owned")
-#: Owners from which a value counts as a widely copied example.
+#: Owners, and repositories, from which a value counts as a widely copied example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 3
 #: Parts that the places of one value are dealt to when they look up its owners.
 SALTS = 32
 
@@ -69,16 +70,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
 def classify(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, salts: int = SALTS) -> DataFrame:
     """id and spans of each row with a candidate: array<struct<start, end, order, kind, live>> by start, then kind as listed; long tokens only if live.
 
-    Values are counted in two steps (by value and owner, then by value), each pre-aggregated before its shuffle. The owners' count goes back to
+    Values are counted in steps (by value, owner and document; by value and owner; by value), each pre-aggregated before its shuffle. The owners' count goes back to
     a value's places by value and salt, so a value that a third of the rows hold is dealt to ``salts`` parts. Rows are told apart by id and content.
     """
     rows = scanned.withColumn("all", F.concat("base", "long")).where("size(all) > 0").select("id", "owner", F.xxhash64("all").alias("content"), "all")
     each = rows.select("id", "owner", "content", F.explode("all").alias("x")).select("id", "owner", "content", "x.start", "x.end", "x.kind", F.sha2(F.col("x.value").cast("binary"), 256).alias("hash"))
-    by_owner = each.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner")).agg(F.lit(1).alias("one"))
-    owners = by_owner.groupBy("hash").agg(F.count("one").alias("n_owners"))
+    by_repository = each.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"), "id").agg(F.lit(1).alias("one"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("one").alias("n"))
+    owners = by_owner.groupBy("hash").agg(F.count("n").alias("n_owners"), F.sum("n").alias("n_repositories"))
     dealt = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = each.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(salts)).cast("int"))
-    seen = salted.join(dealt, ["hash", "salt"]).withColumn("live", F.col("n_owners") < example_owners).where("kind <> 'owned' or live")
+    seen = salted.join(dealt, ["hash", "salt"]).withColumn("live", (F.col("n_owners") < example_owners) | (F.col("n_repositories") < EXAMPLE_REPOSITORIES)).where("kind <> 'owned' or live")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     return seen.groupBy("id", "content").agg(F.array_sort(F.collect_set(F.struct("start", order.alias("order"), "end", "kind", "live"))).alias("spans"))
 
