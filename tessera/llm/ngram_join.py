@@ -3,12 +3,14 @@
 1. Every document becomes its set of shingle hashes. Equal sets are one class, which its smallest id stands for.
 2. A table of counts by hash slot, of fixed size and over all documents, orders shingles: rare ones first. Two sets that are similar enough
    share a shingle in the first part (the prefix) of that order, so only prefixes are posted by shingle.
-3. Of each posting list every member is paired with one pivot of the list only (lists of frequent shingles are dealt to parts, whose pivots are
-   paired with one of theirs). Pairs that pass the length, positional and suffix filters are verified once on whole sets.
-   That links most of a large group of near copies with as many pairs as there are postings.
-4. What is left are pairs whose members are in different components so far. Only those are enumerated, list by list, with the
-   length filter and a positional filter on all shingles that both prefixes share, and verified. A pair within one component
-   needs no test: it can't change the components. So the components are exact, and a group of n near copies does not cost n * n pairs.
+3. In ROUNDS rounds each document is paired with a few pivots of its posting lists only (lists of frequent shingles are dealt to parts): those that come
+   first in the round's order, which documents that share many lists have in common, and the one that it shares most lists with. Pairs that
+   pass the length, positional and suffix filters are verified once on whole sets. That links most of a large group of near copies with a number
+   of pairs that grows with the documents.
+4. What is left are pairs whose members are in different components so far. Only those are enumerated, list by list, with the length filter, a filter by
+   distances to a common pivot (similarity distance is a metric: if two sets' distances to a third differ by more than the largest distance
+   allowed, they are not similar) and a positional filter on all shingles that both prefixes share; then they are verified. A pair within one component needs no
+   test: it can't change the components. So the components are exact, and a group of n near copies does not cost n * n pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ SLOT_BITS = 22
 BLOCKS = 64
 #: Members that a part of a posting list has, about.
 PART = 512
+#: Rounds of pairs with pivots before what is left is enumerated.
+ROUNDS = 2
+#: Pivots in the round's order that a document is paired with, those that the filters rule out aside.
+PIVOTS = 6
+#: Ids of eight bytes that are broadcast at most.
+FEW_IDS = 1 << 20
 #: Parts that the rows of a class are dealt to when they look up their component.
 SALTS = 32
 
@@ -192,62 +200,120 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:a], y[:middle], depth - 1) + same + suffix_bound(x[a + same :], y[middle + 1 :], depth - 1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Those of the pairs (a, b) that are similar enough, each tested once on whole sets. Only the texts of documents in pairs are made into sets."""
+def whole_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """id and shingles (packed, ascending) of the documents with these ids, from their texts.
+
+    Up to FEW_IDS ids (counted first) are sent to the texts; of more, the texts are dealt by id.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1, 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(bytes_of(batch.column(1)), words)], pa.binary())], ["id", "shingles"])
 
+    few = ids.count() <= FEW_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """a, b, similar, near and far (bounds of the pair's distance) of each pair, tested once on whole sets.
+
+    The suffix filter spares dissimilar pairs the count of what they share; it bounds their distance from below.
+    """
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            similar, near, far = [], [], []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
                 least_common = needed(len(x), len(y), least)
-                similar = False
-                if len(x) and len(y) and suffix_bound(x, y) >= least_common:
-                    x, y = (x, y) if len(x) <= len(y) else (y, x)
+                most = suffix_bound(x, y)
+                exact = most >= least_common and len(x) > 0
+                if exact:
                     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    similar = int((y[at] == x).sum()) >= least_common
-                keep.append(similar)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    most = int((y[at] == x).sum())
+                distance = 1 - most / max(1, len(x) + len(y) - most)
+                similar.append(exact and most >= least_common)
+                near.append(distance)
+                far.append(distance if exact else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_()), pa.array(near, pa.float64()), pa.array(far, pa.float64())], ["a", "b", "similar", "near", "far"])
+
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, similar boolean, near double, far double")
 
-    ids = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
-    own = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+def with_pivot(lists: DataFrame, turn: int) -> DataFrame:
+    """Adds the pivot of each list part: the member that comes first in the round's order."""
+    pivot = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "pos", "component")).over(Window.partitionBy("token", "part"))
+    return lists.withColumn("pivot", pivot)
+
+
+def chosen_pivots(lists: DataFrame, turn: int, least: tuple[int, int] = LEAST) -> DataFrame:
+    """id, first (its first pivot in order: pid, and near, a bound of their distance), tries (ids of the pivots to test).
+
+    Only pivots of other components count; those to test pass the length and positional filters. What is gathered per document is no longer than its prefix.
+    """
+    own = with_pivot(lists, turn).select("id", "n", "pos", "component", "pivot")
+    # parts of a list meet through their pivots
+    tops = with_pivot(lists.where("split > 0"), turn).select("token", "pivot").distinct().withColumn("top", F.min("pivot").over(Window.partitionBy("token")))
+    meet = tops.select("pivot.id", "pivot.n", "pivot.pos", "pivot.component", F.col("top").alias("pivot"))
+    n, pn, pos, ppos = F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos")
+    common = F.least(pos, ppos) + 1 + F.least(n - pos - 1, pn - ppos - 1)
+    pairs = own.union(meet).where("component <> pivot.component").select("id", "n", F.col("pivot.order").alias("order"), F.col("pivot.id").alias("pid"), pn.alias("pn"), F.least(common, n, pn).alias("bound"))
+    each = pairs.groupBy("id", "n", "order", "pid", "pn").agg(F.count(F.lit(1)).alias("shared"), F.min("bound").alias("bound"))
+    n, pn, bound = F.col("n"), F.col("pn"), F.col("bound")
+    fits = long_enough(n, pn, least) & (bound >= needed_column(n, pn, least))
+    each = each.select("id", "order", "pid", "shared", fits.alias("fits"), (1 - bound / (n + pn - bound)).alias("near"))
+    best = each.groupBy("id").agg(
+        F.min(F.struct("order", "pid", "near")).alias("first"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("order", "pid")))), 1, PIVOTS).alias("early"),
+        F.max(F.when(F.col("fits"), F.struct("shared", "pid"))).alias("most"),
+    )
+    tries = F.array_compact(F.array_distinct(F.concat(F.col("early.pid"), F.array("most.pid"))))
+    return best.select("id", "first", tries.alias("tries"))
 
 
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def pivot_pairs(multi: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list part's members with its pivot, and of the parts' pivots with one of theirs, that pass the length and positional filters."""
-    of_part = multi.select("id", "n", "pos", F.col("pivot.id").alias("pid"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos"))
-    pivots = multi.where("split > 0").select("token", "pivot").distinct()
-    top = F.min("pivot").over(Window.partitionBy("token"))
-    of_pivots = pivots.withColumn("top", top).select("pivot.id", "pivot.n", "pivot.pos", F.col("top.id").alias("pid"), F.col("top.n").alias("pn"), F.col("top.pos").alias("ppos"))
-    n, pn, pos, ppos = map(F.col, ("n", "pn", "pos", "ppos"))
-    most = F.least(pos, ppos) + 1 + F.least(n - pos - 1, pn - ppos - 1)
-    return of_part.union(of_pivots).where((F.col("id") != F.col("pid")) & long_enough(n, pn) & (most >= needed_column(n, pn))).select(*ordered("id", "pid")).distinct()
+def open_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists with the components of ``label``, without lists whose members are all in one."""
+    held = lists.drop("component").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return held.join(several, "token", "left_semi").select("token", "part", "id", "n", "pos", "split", "component")
 
 
-def cross_pairs(multi: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a posting list, are in different components and pass the filters."""
-    held = multi.select("token", "id", "n", "pos").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lists = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_lists = durable(held.join(lists, "token", "left_semi"))
-    groups = open_lists.select("token", "component").distinct()
+def cross_pairs(lists: DataFrame, stars: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b) that share a posting list, are in different components and pass the filters. stars: id, and in each round's columns its first pivot and the bounds of their distance."""
+    about = [c for c in stars.columns if c != "id"]
+    told = durable(lists.join(stars, "id", "left"))
+    groups = told.select("token", "component").distinct()
     crossing = groups.toDF("token", "ca").join(groups.toDF("token", "cb"), "token").where("ca < cb")
-    left = open_lists.select("token", F.col("component").alias("ca"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"))
-    right = open_lists.select("token", F.col("component").alias("cb"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"))
+    left = told.select("token", F.col("component").alias("ca"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"), *(F.col(c).alias(f"{c}_x") for c in about))
+    right = told.select("token", F.col("component").alias("cb"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"), *(F.col(c).alias(f"{c}_y") for c in about))
     nx, ny = F.col("nx"), F.col("ny")
-    joined = crossing.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(long_enough(nx, ny))
+    widest = 1 - least[0] / least[1] + 1e-9
+    possible = long_enough(nx, ny, least)
+    for turn in range(ROUNDS):
+        apart = F.greatest(F.col(f"near{turn}_x") - F.col(f"far{turn}_y"), F.col(f"near{turn}_y") - F.col(f"far{turn}_x")) > widest
+        possible &= ~F.coalesce((F.col(f"pid{turn}_x") == F.col(f"pid{turn}_y")) & apart, F.lit(False))
+    joined = crossing.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(possible)
     pairs = joined.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("common"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("common") + F.least(nx - F.col("i") - 1, ny - F.col("j") - 1)
-    return pairs.where(most >= needed_column(nx, ny)).select(*ordered("x", "y")).distinct()
+    return pairs.where(most >= needed_column(nx, ny, least)).select(*ordered("x", "y")).distinct()
+
+
+def with_links(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and component after these links were added to the components of ``label``."""
+    if label is None:
+        return components(links)
+    of = lambda end, name: label.select(F.col("node").alias(end), F.col("component").alias(name))
+    ends = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    up = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    new = label.join(up.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    alone = up.join(label, "node", "left_anti").select("node", "component")
+    return durable(new.union(alone))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, bits: int = SLOT_BITS) -> DataFrame:
@@ -262,15 +328,26 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = durable(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")).where("id is not null"))
     listed = classes.select("id", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x")).select("id", "n", "pos", F.col("x.prefix").alias("token"), F.col("x.parts").alias("split"))
     part = F.expr("if(split > 0, pmod(xxhash64(id), shiftleft(1L, cast(split as int))), 0L)")
-    members = Window.partitionBy("token", "part")
-    pivot = F.min(F.struct(F.hash("id").alias("order"), "id", "n", "pos")).over(members)
-    multi = listed.withColumn("part", part).withColumn("pivot", pivot).withColumn("many", F.count(F.lit(1)).over(members)).where("many > 1 or split > 0")
-    multi = durable(multi.select("token", "id", "n", "pos", "split", "pivot"))
-    links = durable(verified(durable(pivot_pairs(multi)), docs, words, least))
-    label = components(links)
-    more = durable(verified(durable(cross_pairs(multi, label)), docs, words, least))
-    if not more.isEmpty():
-        label = components(links.union(more))
+    shared = listed.withColumn("part", part).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token", "part"))).where("many > 1 or split > 0")
+    lists = durable(shared.select("token", "part", "id", "n", "pos", "split"))
+    own = durable(whole_sets(docs, durable(lists.select("id").distinct()), words))
+    lists = lists.withColumn("component", F.col("id"))
+    label, stars = None, None
+    for turn in range(ROUNDS):
+        tried = durable(chosen_pivots(lists, turn, least))
+        pairs = tried.select("id", F.explode("tries").alias("pid")).select(*ordered("id", "pid")).distinct()
+        tested = durable(verified(pairs, own, least))
+        first = tried.select("id", "first.pid", "first.near").select("id", "pid", "near", *ordered("id", "pid"))
+        exact = tested.select("a", "b", F.col("near").alias("near_"), "far")
+        star = first.join(exact, ["a", "b"], "left").select("id", F.col("pid").alias(f"pid{turn}"), F.greatest("near", F.coalesce("near_", F.lit(0.0))).alias(f"near{turn}"), F.coalesce("far", F.lit(1.0)).alias(f"far{turn}"))
+        # a pivot is its own star's middle
+        middle = first.select(F.col("pid").alias("id"), F.col("pid").alias(f"pid{turn}"), F.lit(0.0).alias(f"near{turn}"), F.lit(0.0).alias(f"far{turn}")).distinct()
+        star = durable(middle.union(star.join(middle, "id", "left_anti")))
+        stars = star if stars is None else stars.join(star, "id", "full")
+        label = with_links(label, tested.where("similar").select("a", "b"))
+        lists = durable(open_lists(lists, label))
+    last = durable(verified(durable(cross_pairs(lists, stars, least)), own, least))
+    label = with_links(label, last.where("similar").select("a", "b"))
     found = classes.select("k1", "k2", "n", "id", "rows").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     told = found.where("rows > 1 or component <> id").select("k1", "k2", "n", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = sets.select("id", "n", "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
