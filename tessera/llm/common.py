@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +43,9 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there, on storage that outlives executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    # shuffle files go when the driver's JVM finds that nothing refers to them; nothing needs those before this table any more
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
