@@ -25,6 +25,8 @@ MEMO = 300_000
 MEMO_WORDS = 600_000
 #: How the vocabulary's file splits a chunk.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The same before lower-casing, for chunks of PLAIN.
+EITHER_CASE = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]" + WORDS[WORDS.index(r"|\p{L}") :]
 #: Chunks of these have no combining marks, and no capital whose lower case has one.
 PLAIN = r"[!-~\u00A1-\u012F]*"
 LOWER_A_TO_Z = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
@@ -48,7 +50,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = "<|"
-        self.split_words, self.plain = regex.compile(WORDS).findall, regex.compile(PLAIN).fullmatch
+        self.split_words, self.plain = regex.compile(EITHER_CASE).findall, regex.compile(PLAIN).fullmatch
         self.chunks, self.words = Memo(MEMO), Memo(MEMO_WORDS)
 
     def one_by_one(self, parts: list[str]) -> list[bytes]:

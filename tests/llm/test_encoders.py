@@ -69,6 +69,13 @@ def test_word_ids_equal_the_library():
     assert [g.tolist() for g in got] == [ids for _, ids in word_id_lists()]
 
 
+@pytest.mark.parametrize("text", ["IT'S <|endoftext|> ok", "F# <| DON'T x", "WE'LL, <|endoftext|>THEY'RE I'M <| I'VE HE'D É'S"])
+def test_word_ids_of_upper_case_contractions_beside_a_special_string(text):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = word_ids.WordEncoder(word_ids.DEFAULT_VOCABULARY).encode([text])
+    assert got[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_small_memos_change_nothing(monkeypatch):
     encoder = word_ids.WordEncoder(word_ids.DEFAULT_VOCABULARY)
     counts, pieces = token_counts.MergeTable(token_counts.DEFAULT_VOCABULARY), piece_codec.PieceModel(piece_codec.DEFAULT_MODEL)
