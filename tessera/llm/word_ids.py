@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 EITHER_CASE = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]" + WORDS[WORDS.index(r"|\p{L}") :]
 #: Chunks of these have no combining marks, and no capital whose lower case has one.
 PLAIN = r"[!-~\u00A1-\u012F]*"
+#: All marks that A to Z compose with are among these.
+MARKS = r"[\u0300-\u036F]"
 LOWER_A_TO_Z = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
 
 
@@ -51,6 +54,7 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = "<|"
         self.split_words, self.plain = regex.compile(EITHER_CASE).findall, regex.compile(PLAIN).fullmatch
+        self.marks = re.compile(MARKS).search
         self.chunks, self.words = Memo(MEMO), Memo(MEMO_WORDS)
 
     def one_by_one(self, parts: list[str]) -> list[bytes]:
@@ -87,10 +91,13 @@ class WordEncoder:
         self.chunks.now.update((chunk, b"".join(map(of, words))) for chunk, words in split)
         self.chunks.now.update(zip((c for c, _ in whole), self.one_by_one([t for _, t in whole]), strict=True))
 
+    def may_lower(self, text: str) -> bool:
+        return self.special not in text and (text.isascii() or not self.marks(text))
+
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit integers, with the end id."""
-        # lower case A to Z is what normalisation makes anyhow, unless the text may hold a special string
-        split = [t.encode().replace(b"\n", b" ").split(b" ") if self.special in t else t.encode().translate(LOWER_A_TO_Z).split(b" ") for t in texts]
+        # lower case A to Z is what normalisation makes anyhow, unless the text may hold a special string or a mark that a capital composes with first
+        split = [t.encode().translate(LOWER_A_TO_Z).split(b" ") if self.may_lower(t) else t.encode().replace(b"\n", b" ").split(b" ") for t in texts]
         new = self.chunks.missing(set().union(*split))
         if new:
             self.learn(new)

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -76,6 +78,20 @@ def test_word_ids_of_upper_case_contractions_beside_a_special_string(text):
     assert got[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("text", ["J\u030cx", "T\u0308", "H\u0331", "W\u030a", "Y\u030a", "IT'S AJ\u030c J\u0327\u030cO E\u0301T\nDON'T"])
+def test_word_ids_of_capitals_and_marks(text):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = word_ids.WordEncoder(word_ids.DEFAULT_VOCABULARY).encode([text])
+    assert got[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_marks_that_capitals_compose_with_are_noticed():
+    forms = [unicodedata.normalize("NFD", chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = {m for f in forms if "A" <= f[0] <= "Z" for m in f[1:]}
+    hold = marks | {chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFD", chr(c))[0] in marks}
+    assert "\u030c" in marks and all(re.fullmatch(word_ids.MARKS, m) for m in hold)
+
+
 def test_small_memos_change_nothing(monkeypatch):
     encoder = word_ids.WordEncoder(word_ids.DEFAULT_VOCABULARY)
     counts, pieces = token_counts.MergeTable(token_counts.DEFAULT_VOCABULARY), piece_codec.PieceModel(piece_codec.DEFAULT_MODEL)
