@@ -24,6 +24,19 @@ def with_row(df: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "__file").withColumn(ROW, F.col("__start") + F.col("__index")).drop("__file", "__index", "__start")
 
 
+def in_order(df: DataFrame, groups: dict[str, Column], within: Column, name: str) -> DataFrame:
+    """Adds ``name``, each row's place from 1 in the order of the groups (columns and their sort orders) and then of ``within``.
+
+    Rows are numbered in their group; one row per group is summed up over all groups before it. Choose groups of bounded size.
+    """
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*groups.values()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(g).alias(f"__{g}") for g in groups), before.alias("__before"))
+    numbered = df.withColumn("__at", F.row_number().over(Window.partitionBy(*groups).orderBy(within)))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    return numbered.join(F.broadcast(starts), same).withColumn(name, F.col("__at") + F.col("__before")).select(*df.columns, name)
+
+
 def row_group_part(groups_per_task: int = 1, size: int = ROW_GROUP) -> Column:
     return F.floor(F.col(ROW) / (size * groups_per_task)).cast("int")
 

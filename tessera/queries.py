@@ -155,6 +155,12 @@ def enum_order(spark, d):
     return c.orderBy(fn.enum_order("e", SEGMENTS), "c_custkey").limit(400).drop("e")
 
 
+@query("enum_order_all", f"select c_custkey, c_mktsegment, row_number() over (order by list_position({SEGMENT_LIST}, nullif(c_mktsegment, 'HOUSEHOLD')) nulls last, c_custkey) as place from customer")
+def enum_order_all(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.nullif("c_mktsegment", F.lit("HOUSEHOLD")).alias("e"), F.floor(F.col("c_custkey") / 4096).alias("g"))
+    return partition.in_order(c, {"e": fn.enum_order("e", SEGMENTS), "g": F.asc("g")}, F.asc("c_custkey"), "place").drop("e", "g")
+
+
 @query("enum_compare", f"select event_id, event_type from events where list_position({LIST}, event_type) > list_position({LIST}, 'click') and list_position({LIST}, event_type) <= 4")
 def enum_compare(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type")
@@ -176,6 +182,12 @@ def order_nulls_last(spark, d):
     return o.orderBy(fn.nulls_last("st", descending=True), "o_orderkey").limit(12000)
 
 
+@query("order_nulls_last_all", "select o_orderkey, nullif(o_orderstatus, 'F') as st, row_number() over (order by nullif(o_orderstatus, 'F') desc nulls last, o_orderkey) as place from orders")
+def order_nulls_last_all(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("st"), F.floor(F.col("o_orderkey") / 4096).alias("g"))
+    return partition.in_order(o, {"st": fn.nulls_last("st", descending=True), "g": F.asc("g")}, F.asc("o_orderkey"), "place").drop("g")
+
+
 by_text("set_union", "select c_nationkey as k from customer where c_acctbal < 0 union select s_nationkey from supplier")
 by_text("set_union_all", "select c_nationkey as k from customer union all select s_nationkey from supplier")
 by_text("set_intersect", "select o_custkey as k from orders where o_totalprice > 250000 intersect select c_custkey from customer where c_acctbal > 5000")
@@ -260,6 +272,12 @@ def types_wide_order(spark, d):
     return e.orderBy(F.desc("w")).limit(9000).select("event_id", types.wide_number(F.col("w")).alias("v"))
 
 
+@query("types_wide_order_all", "select event_id, (event_id::hugeint - 50)::varchar as v, row_number() over (order by event_id::hugeint - 50 desc) as place from events")
+def types_wide_order_all(spark, d):
+    e = table(spark, d, "events").select("event_id", types.wide_text(F.col("event_id") - 50).alias("w")).withColumn("g", F.substring("w", 1, types.WIDE - 2))
+    return partition.in_order(e, {"g": F.desc("g")}, F.desc("w"), "place").select("event_id", types.wide_number(F.col("w")).alias("v"), "place")
+
+
 @query("types_time", "select event_id, epoch_us(ts) % 86400000000 as micros, strftime(ts, '%H:%M:%S') as clock from events")
 def types_time(spark, d):
     clock = F.date_format("ts", "HH:mm:ss")
