@@ -18,9 +18,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told (null, or no letter); profiles come from the rows that are not held out."""
+    """Drops documents without a letter, and null ones; profiles come from the rows that are not held out. Without profiles all others stay as well."""
     profiles = language.fit(docs.where(~F.coalesce(language.held_out(), F.lit(False))))
     columns = [c for c in COLUMNS if c != "text"] + ["text"]
+    if not profiles:
+        return language.with_letter(docs, columns).select(*COLUMNS)
     told = language.identify(docs, profiles, columns=columns)
     return told.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 

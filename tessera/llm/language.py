@@ -139,6 +139,17 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_i
     return picked.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def with_letter(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, whose last is the text, of the rows whose text has a letter: those that ``identify`` names a language for if there are profiles. Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, len(columns) - 1, 4 << 20):
+            yield batch.filter(pa.array([any(map(str.isalpha, t)) for t in texts_of(batch.column(len(columns) - 1))], pa.bool_()))
+
+    picked = df.select(*columns)
+    return picked.mapInArrow(run, picked.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2
 

@@ -272,6 +272,17 @@ def test_bad_files_give_a_row_that_says_so(spark):
 # pipeline
 
 
+def test_language_stage_without_profiles(spark):
+    texts = ["abc", "漢字", "x 1", "12 !!", "", None, "ꟊ"]
+    docs = frame(spark, [(i, t, "s", None) for i, t in enumerate(texts)])
+    told = corpus_pipeline.identify_language(spark, docs, DATA)
+    assert told.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r["doc_id"], r["text"]) for r in told.collect()) == [(i, texts[i]) for i in (0, 1, 2, 6)]
+    only_held_out = [i for i in range(100) if language.is_held_out(i)]
+    labelled = frame(spark, [(i, "abc", "s", "en") for i in only_held_out])
+    assert corpus_pipeline.identify_language(spark, labelled, DATA).count() == len(only_held_out)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
