@@ -22,7 +22,7 @@ from tessera.llm.common import text_slices, texts_of
 #: N-grams in a profile.
 PROFILE = 400
 UNKNOWN = "und"
-#: Languages that profiles are learned for at most; their profiles (PROFILE rows each) are what the driver holds and sends out.
+#: Full profiles (PROFILE rows each) that the driver holds and sends out at most; more are an error, none is left out.
 LANGUAGES = 1000
 #: Distinct (language, n-gram) counts that a task gathers before it hands them on.
 GATHERED = 1 << 20
@@ -62,7 +62,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", profile:
     """Profiles of the languages of ``df``, from all its rows with text and language.
 
     Tasks count n-grams per language over whole texts and hand on one row per language and n-gram; those are summed per key, ranked in each language,
-    and only the profiles come to the driver (LANGUAGES times ``profile`` rows at most).
+    and only the profiles come to the driver: LANGUAGES times ``profile`` rows at most. If there are more, which takes over LANGUAGES languages, it's an error.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,11 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", profile:
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
-    for lang, gram in sums.withColumn("rank", rank).where(F.col("rank") <= profile).select("lang", "gram", "rank").orderBy("lang", "rank").select("lang", "gram").limit(LANGUAGES * profile).collect():
+    ranked = sums.withColumn("rank", rank).where(F.col("rank") <= profile).select("lang", "gram", "rank").orderBy("lang", "rank").select("lang", "gram")
+    found = ranked.limit(LANGUAGES * profile + 1).collect()
+    if len(found) > LANGUAGES * profile:
+        raise ValueError(f"profiles of over {LANGUAGES} languages: more than {LANGUAGES * profile} rows for the driver")
+    for lang, gram in found:
         profiles.setdefault(lang, []).append(gram)
     return profiles
 

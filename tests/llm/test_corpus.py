@@ -272,6 +272,16 @@ def test_bad_files_give_a_row_that_says_so(spark):
 # pipeline
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    docs = frame(spark, [(1, "ab", "s", "aa"), (2, "cd", "s", "bb"), (3, "ef", "s", "cc")])
+    whole = language.fit(docs, profile=4)
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    assert language.fit(docs, profile=4) == whole and [len(p) for p in whole.values()] == [4, 4, 4]
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="2 languages"):
+        language.fit(docs, profile=4)
+
+
 def test_language_stage_without_profiles(spark):
     texts = ["abc", "漢字", "x 1", "12 !!", "", None, "ꟊ"]
     docs = frame(spark, [(i, t, "s", None) for i, t in enumerate(texts)])
