@@ -80,6 +80,13 @@ def test_owners_part_examples_from_live_values(spark):
     assert got.count() == len(rows) and secrets.find_secrets(frame(spark, rows).where("false")).count() == 0
 
 
+def test_owners_alone_decide(spark):
+    value = "AKIA" + "Q" * 16
+    two = [(i, f"key {value}", "ab"[i % 2], "en") for i in range(50)]
+    live = lambda rows: {s["live"] for r in secrets.find_secrets(frame(spark, rows)).collect() for s in r["spans"]}
+    assert live(two) == {True} and live([*two, (50, value, "c", "en")]) == {False}
+
+
 def test_mask(spark):
     text = "é token=0123456789abcdef0123456789abcdef! end"
     df = frame(spark, [(1, text)])
