@@ -149,6 +149,11 @@ def enum_min_max(spark, d):
     return e.groupBy("g").agg(fn.enum_min("event_type", EVENT_TYPES).alias("lo"), fn.enum_max("event_type", EVENT_TYPES).alias("hi"))
 
 
+@query("enum_min_max_all", f"select user_id, cast(ts as date) as day, min_by(event_type, list_position({LIST}, event_type)) as lo, max_by(event_type, list_position({LIST}, event_type)) as hi from events group by all")
+def enum_min_max_all(spark, d):
+    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(fn.enum_min("event_type", EVENT_TYPES).alias("lo"), fn.enum_max("event_type", EVENT_TYPES).alias("hi"))
+
+
 @query("enum_order", f"select c_custkey, c_mktsegment from customer order by list_position({SEGMENT_LIST}, nullif(c_mktsegment, 'HOUSEHOLD')) nulls last, c_custkey limit 400")
 def enum_order(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment").withColumn("e", F.nullif("c_mktsegment", F.lit("HOUSEHOLD")))
@@ -222,6 +227,12 @@ def join_range(spark, d):
     return joins.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), parts, "o_totalprice", "lo", "hi", 64.0).select("o_orderkey", "p_partkey")
 
 
+@query("join_range_all", "select o_orderkey, p_partkey from orders join part on o_totalprice >= p_retailprice * 100 and o_totalprice < p_retailprice * 100 + 1")
+def join_range_all(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 1).alias("hi"))
+    return joins.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), parts, "o_totalprice", "lo", "hi", 2.0).select("o_orderkey", "p_partkey")
+
+
 # lists
 
 by_text("list_unnest", "select vec_id, explode(slice(embedding, 1, 3)) as x from embeddings", "select vec_id, unnest(embedding[1:3]) as x from embeddings")

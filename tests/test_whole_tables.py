@@ -25,3 +25,16 @@ def test_order_over_all_rows(spark, name, t, last):
     in_order = sorted(got, key=lambda r: r[2])
     assert [r[2] for r in in_order] == list(range(1, len(got) + 1))
     assert in_order[-1][1] == last
+
+
+def test_enum_min_max_over_all_events(spark):
+    got, want = both(spark, "enum_min_max_all")
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    assert got == want and {r[0] for r in got} == {r[0] for r in events.select("user_id").distinct().collect()}
+    assert {r[2] for r in got} == {r[3] for r in got} == {"view", "click", "signup", "purchase", "error"}
+
+
+def test_join_range_over_all_parts(spark):
+    got, want = both(spark, "join_range_all")
+    sizes = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey", "p_size").collect()}
+    assert got == want and len({sizes[p] for _, p in got}) > 1
