@@ -27,28 +27,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 
-    It lies in the folder that the cluster names in ``spark.checkpoint.dir``. Only a session without one
-    (a local test) gets a temporary folder.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``. Only a local session without one (a test) gets a temporary folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the driver drop the files of shuffles that nothing refers to any more; it finds them when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there, on storage that outlives executors."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
-    # shuffle files go when the driver's JVM finds that nothing refers to them; nothing needs those before this table any more
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, dropped when their readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        out = durable(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = set(map(id, tables))
+        self.drop(*(t for k, (t, _) in list(self.paths.items()) if k not in kept))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice's texts have ``max_bytes`` at most, or are one text."""
     import numpy as np

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and component (its smallest node), for each node of the links (columns a and b).
 
     Each round gives every node its smallest neighbour (or itself) as parent, goes on to the parent's parent, and replaces the links by those
     between different parents, until none is left. Rounds are written to shared storage; nothing but "is any left" comes to the driver. Smallest neighbours
     are pre-aggregated, so a node with very many links is no burden.
     """
+    scratch = scratch or Scratch(links.sparkSession)
     apart = F.col("a") < F.col("b")
-    edges = durable(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(apart).distinct())
-    label = None
+    edges = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(apart).distinct())
+    label, rounds = None, [edges]
     while label is None or not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other")
         parent = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("parent"))
         above = parent.toDF("parent", "grand")
-        parent = durable(parent.join(above, "parent").select("node", F.col("grand").alias("parent")))
+        parent = scratch.write(parent.join(above, "parent").select("node", F.col("grand").alias("parent")))
         if label is None:
             label = parent.toDF("node", "component")
         else:
             up = parent.toDF("component", "parent")
             label = label.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
         ends = edges.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b")
-        edges = durable(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where(apart).distinct())
-    return durable(label)
+        edges = scratch.write(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where(apart).distinct())
+        rounds += [parent, edges]
+    out = scratch.write(label)
+    scratch.drop(*rounds)
+    return out

@@ -1,105 +1,50 @@
 """N-gram Jaccard self-join with rare-first prefix filtering, and the components of its links.
 
-1. Every document becomes its set of shingle hashes. Equal sets are one class, which its smallest id stands for.
-2. A table of counts by hash slot, of fixed size and over all documents, orders shingles: rare ones first. Two sets that are similar enough
-   share a shingle in the first part (the prefix) of that order, so only prefixes are posted by shingle.
-3. Of each posting list every member is paired with one pivot of the list only (lists of frequent shingles are dealt to parts, whose pivots are
-   paired with one of theirs). Pairs that pass the length, positional and suffix filters are verified once on whole sets.
-   That links most of a large group of near copies with as many pairs as there are postings.
-4. What is left are pairs whose members are in different components so far. Only those are enumerated, list by list, with the
-   length filter and a positional filter on all shingles that both prefixes share, and verified. A pair within one component
-   needs no test: it can't change the components. So the components are exact, and a group of n near copies does not cost n * n pairs.
+1. Every document becomes its set of shingle hashes. Equal sets are one class; one row of each class is kept, in blocks of bounded size.
+2. Shingles are counted over classes. A block sends each distinct shingle once, as 32 bits to one of as many parts as the corpus needs, and gets back
+   the counts above one. So the order "rare ones first" is as fine for a large corpus as for a small one, and a shingle
+   that a third of all documents hold is sent once per block.
+3. Two sets that are similar enough share a shingle in the first part (the prefix) of that order. A shingle of one class alone can't be shared, so a class
+   whose whole prefix is such shingles is done; of the others only the shared part of the prefix is posted by shingle.
+4. Of each posting list every member is paired with one pivot of the list, the same for all lists it heads. Pairs pass the length and positional filters;
+   a class proposes the PROPOSALS pivots that it shares most shingles with. Each pair is verified once, behind the suffix filter.
+   That links most of a large group of near copies with as many pairs as the group has members.
+5. All other pairs whose members are then in different components are joined on their prefix shingles, list by list, with the same filters,
+   and those not verified before are verified. A pair within one component can't change the components, so they are exact.
+
+The positional filter takes a shared shingle for the first one that a pair shares: that is right for one of its rows, and a pair needs only one.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm.common import bytes_of, durable, text_slices
+from tessera.llm.common import Scratch, bytes_of, text_slices
 from tessera.llm.graph import components
+from tessera.llm.shingles import WORDS, U, mixed, set_keys, shingle_sets
 
-WORDS = 5
 #: The least similarity, as numerator and denominator.
 LEAST = (75, 100)
-#: Slots of the table of counts, 1 << SLOT_BITS; each takes a byte where the table is sent. More slots order larger corpora better; any number is exact.
-SLOT_BITS = 22
-BLOCKS = 64
+#: Bytes of text in a block, and in what a Python worker makes into sets at once.
+BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Shingles that a part counts, about.
+PART_SHINGLES = 1 << 21
 #: Members that a part of a posting list has, about.
 PART = 512
+#: Pivots that a class is verified with before the join of components.
+PROPOSALS = 3
 #: Parts that the rows of a class are dealt to when they look up their component.
 SALTS = 32
 
-U = np.uint64
-#: Odd numbers: the base of word hashes, and the weights of a shingle's words.
-BASE = 0x9E3779B97F4A7C15
-WEIGHTS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], U)
-FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Powers:
-    """Powers of BASE and of its inverse, modulo 2**64, as far as asked for."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            inverse = pow(BASE, -1, 1 << 64)
-            n = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                for name, base in (("up", BASE), ("down", inverse)):
-                    out = np.ones(1, U)
-                    while len(out) < n:
-                        out = np.concatenate([out, out * U(pow(base, len(out), 1 << 64))])
-                    setattr(self, name, out)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, ascending. Fewer words than ``words``: one shingle of them all; none: none."""
-    joined = np.frombuffer(b" ".join([*texts, b""]).translate(FOLD), np.uint8)
-    if not len(joined):
-        return [np.empty(0, U) for _ in texts]
-    text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    inside = np.concatenate([[False], joined != 32, [False]])
-    start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
-    with np.errstate(over="ignore"):
-        up, down = POWERS.upto(len(joined) + 1)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((joined.astype(U) + U(1)) * up[: len(joined)], dtype=U)])
-        word = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
-        first = np.searchsorted(start, text_at)
-        many = np.diff(np.append(first, len(start)))
-        weights = WEIGHTS[:words] if words <= len(WEIGHTS) else mixed(np.arange(1, words + 1).astype(U)) | U(1)
-        n = max(len(word) - words + 1, 0)
-        rolled = np.zeros(n, U)
-        for k in range(words):
-            rolled += word[k : k + n] * weights[k]
-        rolled = mixed(rolled)
-        out = []
-        for a, w in zip(first.tolist(), many.tolist(), strict=True):
-            if w >= words:
-                out.append(np.unique(rolled[a : a + w - words + 1]))
-            elif w:
-                out.append(mixed((word[a : a + w] * weights[:w]).sum(dtype=U) + U(w) * U(BASE)).reshape(1))
-            else:
-                out.append(np.empty(0, U))
-    return out
+CODES = "block long, part int, tokens binary, codes binary"
 
 
 def needed(nx, ny, least: tuple[int, int] = LEAST):
@@ -108,76 +53,22 @@ def needed(nx, ny, least: tuple[int, int] = LEAST):
     return (a * (nx + ny) + a + b - 1) // (a + b)
 
 
-def prefix_length(n: int, least: tuple[int, int] = LEAST) -> int:
+def prefix_length(n, least: tuple[int, int] = LEAST):
     a, b = least
     return n - -(-a * n // b) + 1
 
 
-def frequencies(docs: DataFrame, words: int = WORDS, bits: int = SLOT_BITS) -> np.ndarray:
-    """For each slot, about 8 * log2(1 + the number of shingles, one per document, that fall into it), as a byte.
-
-    Tasks count into the fixed table; its blocks are summed by block, one compressed block per task and block in the shuffle.
-    """
-    size = (1 << bits) // BLOCKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
-        for batch in text_slices(batches, 0, 2 << 20):
-            for hashes in shingle_sets(bytes_of(batch.column(0)), words):
-                np.add.at(table, (hashes >> U(64 - bits)).astype(np.int64), 1)
-        if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(table[b * size : (b + 1) * size].tobytes(), 1) for b in range(BLOCKS)], pa.binary())], ["block", "counts"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
-                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(8 * np.log2(1 + s), 255).astype(np.uint8).tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
-
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary").repartition(BLOCKS, "block")
-    out = np.zeros(1 << bits, np.uint8)
-    for block, counts in parts.mapInArrow(total, "block int, counts binary").collect():
-        out[block * size : (block + 1) * size] = np.frombuffer(counts, np.uint8)
-    return out
-
-
-def prefixes(docs: DataFrame, frequency: np.ndarray, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """id, n, k1 and k2 (128 bits of the set), prefix (rare shingles first), parts (log2 of the parts of each one's posting list)."""
-    bits = int(np.log2(len(frequency)))
-    sent = docs.sparkSession.sparkContext.broadcast(frequency)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in text_slices(batches, 1, 2 << 20):
-            n, k1, k2, tokens, parts = [], [], [], [], []
-            for hashes in shingle_sets(bytes_of(batch.column(1)), words):
-                n.append(len(hashes))
-                with np.errstate(over="ignore"):
-                    k1.append(int(mixed(hashes + U(1)).sum(dtype=U).astype(np.int64)))
-                    k2.append(int(np.bitwise_xor.reduce(mixed(hashes ^ U(BASE)), initial=U(0)).astype(np.int64)))
-                often = table[(hashes >> U(64 - bits)).astype(np.int64)]
-                first = np.argsort(often, kind="stable")[: prefix_length(len(hashes), least)] if len(hashes) else np.empty(0, np.int64)
-                tokens.append(hashes[first].view(np.int64))
-                parts.append(np.maximum(0, (often[first].astype(np.int64) + 7) // 8 - int(np.log2(PART))))
-            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(k))) for x, k in ((tokens, np.int64), (parts, np.int8))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *lists], ["id", "n", "k1", "k2", "prefix", "parts"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, k1 long, k2 long, prefix array<long>, parts array<tinyint>")
-
-
-def long_enough(nx: Column, ny: Column, least: tuple[int, int] = LEAST) -> Column:
-    """The length filter."""
+def needed_sql(nx: str, ny: str, least: tuple[int, int] = LEAST) -> str:
     a, b = least
-    return F.least(nx, ny) * b >= F.greatest(nx, ny) * a
+    return f"(({a} * ({nx} + {ny}) + {a + b - 1}) div {a + b})"
 
 
-def needed_column(nx: Column, ny: Column, least: tuple[int, int] = LEAST) -> Column:
+def filters(x: str, y: str, least: tuple[int, int] = LEAST) -> Column:
+    """The length filter, and the positional filter of a first shared shingle, for structs or tables with n and pos."""
     a, b = least
-    return F.ceil((nx + ny) * F.lit(a) / F.lit(float(a + b)) - F.lit(1e-9))
+    length = f"least({x}.n, {y}.n) * {b} >= greatest({x}.n, {y}.n) * {a}"
+    place = f"1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 >= {needed_sql(f'{x}.n', f'{y}.n', least)}"
+    return F.expr(f"{length} and {place}")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -192,87 +83,242 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:a], y[:middle], depth - 1) + same + suffix_bound(x[a + same :], y[middle + 1 :], depth - 1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Those of the pairs (a, b) that are similar enough, each tested once on whole sets. Only the texts of documents in pairs are made into sets."""
+def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
+    """Whether two sets, ascending, are similar enough."""
+    least_common = needed(len(x), len(y), least)
+    if not len(x) or not len(y) or suffix_bound(x, y) < least_common:
+        return False
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum()) >= least_common
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 1, 2 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(bytes_of(batch.column(1)), words)], pa.binary())], ["id", "shingles"])
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-                least_common = needed(len(x), len(y), least)
-                similar = False
-                if len(x) and len(y) and suffix_bound(x, y) >= least_common:
-                    x, y = (x, y) if len(x) <= len(y) else (y, x)
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    similar = int((y[at] == x).sum()) >= least_common
-                keep.append(similar)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
-    own = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, shingles binary")
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+def keyed(df: DataFrame, text_col: str, columns: list[str], words: int) -> DataFrame:
+    """The columns, and n, k1 and k2 (128 bits) of each text's set."""
+    at = df.select(text_col, *columns)
+    schema = StructType(at.select(*columns).schema.fields[:]).add("n", "integer").add("k1", "long").add("k2", "long")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 0, SLICE_BYTES):
+            sets = shingle_sets(bytes_of(batch.column(0)), words)
+            keys = [set_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(map(len, sets)), pa.int32()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64())], schema.names)
+
+    return at.mapInArrow(run, schema)
 
-def ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def blocked(classes: DataFrame, text_col: str) -> DataFrame:
+    """Adds cid, a number of its own for each row, and block: rows that follow each other in a task with BLOCK_BYTES of text, or one row with more."""
+    schema = StructType(classes.schema.fields[:]).add("cid", "long").add("block", "long")
+    at = classes.columns.index(text_col)
 
-def pivot_pairs(multi: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list part's members with its pivot, and of the parts' pivots with one of theirs, that pass the length and positional filters."""
-    of_part = multi.select("id", "n", "pos", F.col("pivot.id").alias("pid"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos"))
-    pivots = multi.where("split > 0").select("token", "pivot").distinct()
-    top = F.min("pivot").over(Window.partitionBy("token"))
-    of_pivots = pivots.withColumn("top", top).select("pivot.id", "pivot.n", "pivot.pos", F.col("top.id").alias("pid"), F.col("top.n").alias("pn"), F.col("top.pos").alias("ppos"))
-    n, pn, pos, ppos = map(F.col, ("n", "pn", "pos", "ppos"))
-    most = F.least(pos, ppos) + 1 + F.least(n - pos - 1, pn - ppos - 1)
-    return of_part.union(of_pivots).where((F.col("id") != F.col("pid")) & long_enough(n, pn) & (most >= needed_column(n, pn))).select(*ordered("id", "pid")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, row, block, held = TaskContext.get().partitionId() << 33, 0, 0, 0
+        for batch in text_slices(batches, at, SLICE_BYTES):
+            size = batch.column(at).nbytes
+            if held and held + size > BLOCK_BYTES:
+                block, held = block + 1, 0
+            held += size
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(row, row + n) + first), pa.array(np.full(n, first + block, np.int64))], schema.names)
+            row += n
+
+    return classes.mapInArrow(run, schema)
+
+
+def class_rows(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """One row per set that has shingles: the class's row with the smallest id (nulls last, ties by content), rows, n, k1, k2, cid and block."""
+    has_word = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    columns = df.columns
+    rows = keyed(df.where(has_word), text_col, columns, words)
+    order = F.struct(F.col(id_col).isNull(), id_col, F.xxhash64(text_col))
+    classes = rows.groupBy("k1", "k2", "n").agg(F.min_by(F.struct(*columns), order).alias("row"), F.count(F.lit(1)).alias("rows"))
+    return blocked(classes.select("row.*", "rows", "n", "k1", "k2"), text_col)
+
+
+def name_parts(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """A shingle's part, and 32 bits that tell it from the others there, in one number."""
+    return (tokens >> U(32)) * U(parts) >> U(32) << U(32) | (mixed(tokens) & U(0xFFFFFFFF))
+
+
+def rarity(rows: DataFrame, text_col: str, words: int, parts: int) -> DataFrame:
+    """For each block the shingles that several classes hold, by part, with a code: 8 * log2 of how many, rounded, 1 at least."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1, SLICE_BYTES):
+            block = batch.column(0).to_numpy()
+            sets = shingle_sets(bytes_of(batch.column(1)), words)
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                names = np.sort(name_parts(np.concatenate(sets[a:b]), parts))
+                first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+                names, count = names[first], np.diff(np.append(first, len(names))).astype("<u4")
+                part = (names >> U(32)).astype(np.int32)
+                at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                ends = [*at[1:].tolist(), len(part)]
+                low = names.astype("<u4")
+                several = [(count[p:q] > 1).any() for p, q in zip(at.tolist(), ends, strict=True)]
+                sent = [low[p:q].tobytes() for p, q in zip(at.tolist(), ends, strict=True)]
+                counts = [count[p:q].tobytes() if some else None for p, q, some in zip(at.tolist(), ends, several, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block[a])), pa.array(part[at]), pa.array(sent, pa.binary()), pa.array(counts, pa.binary())], ["block", "part", "tokens", "codes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, "<u4") for x in table.column("tokens").to_pylist()]
+        counts = [np.ones(len(s), np.int64) if x is None else np.frombuffer(x, "<u4").astype(np.int64) for s, x in zip(sent, table.column("codes").to_pylist(), strict=True)]
+        tokens = np.concatenate(sent)
+        order = np.argsort(tokens, kind="stable")
+        first = np.flatnonzero(np.append(True, tokens[order][1:] != tokens[order][:-1]))
+        many = np.add.reduceat(np.concatenate(counts)[order], first)
+        code = np.where(many > 1, np.clip(np.rint(8 * np.log2(many)), 1, 255), 0).astype(np.uint8)
+        codes = np.empty(len(tokens), np.uint8)
+        codes[order] = np.repeat(code, np.diff(np.append(first, len(order))))
+        ends = np.cumsum([len(s) for s in sent])
+        own = [(s, c) for s, c in zip(sent, np.split(codes, ends[:-1]), strict=True)]
+        out = [(s[c > 0].tobytes(), c[c > 0].tobytes()) for s, c in own]
+        told = pa.table({"block": table.column("block"), "part": table.column("part"), "tokens": pa.array([t for t, _ in out], pa.binary()), "codes": pa.array([c for _, c in out], pa.binary())})
+        return told.filter(pa.array([bool(c) for _, c in out], pa.bool_()))
+
+    return rows.select("block", text_col).mapInArrow(send, CODES).groupBy("part").applyInArrow(count, CODES)
+
+
+def prefixes(rows: DataFrame, codes: DataFrame, text_col: str, words: int, least: tuple[int, int], parts: int) -> DataFrame:
+    """cid, n, what others may share of the prefix (token, pos in the order, code) and the whole set, of classes that may have a partner."""
+    schema = "cid long, n int, prefix array<struct<token:long,pos:int,code:int>>, shingles binary"
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("code", pa.int32())]))
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        names = [U(p) << U(32) | np.frombuffer(t, "<u4").astype(U) for p, t in zip(told.column("part").to_pylist(), told.column("tokens").to_pylist(), strict=True)]
+        if names and docs.num_rows:
+            names = np.concatenate(names)
+            code = np.frombuffer(b"".join(told.column("codes").to_pylist()), np.uint8)
+            order = np.argsort(names)
+            names, code = names[order], code[order].astype(np.int32)
+            slices = text_slices(docs.select(["cid", text_col]).combine_chunks().to_batches(), 1, SLICE_BYTES)
+            for batch in slices:
+                for cid, tokens in zip(batch.column(0).to_pylist(), shingle_sets(bytes_of(batch.column(1)), words), strict=True):
+                    own = name_parts(tokens, parts)
+                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                    found = np.where(names[at] == own, code[at], 0)
+                    alone = len(tokens) - np.count_nonzero(found)
+                    length = prefix_length(len(tokens), least)
+                    if alone < length:
+                        shared = np.flatnonzero(found)
+                        first = shared[np.lexsort((tokens[shared], found[shared]))][: length - alone]
+                        post = [{"token": t, "pos": alone + k, "code": c} for k, (t, c) in enumerate(zip(tokens[first].view(np.int64).tolist(), found[first].tolist(), strict=True))]
+                        out.append((cid, len(tokens), post, tokens.tobytes()))
+        cids, n, posts, sets = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({"cid": pa.array(cids, pa.int64()), "n": pa.array(n, pa.int32()), "prefix": pa.array(posts, kind), "shingles": pa.array(sets, pa.binary())})
+
+    return rows.select("block", "cid", text_col).groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(run, schema)
+
+
+def copies(code: str) -> Column:
+    """Parts that a shingle's posting list is dealt to: one per PART members or so, by its code alone."""
+    return F.expr(f"cast(shiftleft(1L, greatest(0, cast(ceil({code} / 8.0) as int) - {PART.bit_length() - 1})) as int)")
+
+
+def dealt(post: Column | str = "cid", code: str = "code") -> Column:
+    return F.pmod(F.xxhash64(post), copies(code)).cast("int")
+
+
+def pivot_pairs(postings: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b): each class with the pivots, PROPOSALS at most, that it shares most posted shingles with."""
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("code").alias("code"), F.min(F.struct(F.hash("cid").alias("order"), "cid", "n", "pos")).alias("pivot")).where("many > 1")
+    heads = lists.select("token", "pivot", F.explode(F.sequence(F.lit(0), copies("code") - 1)).alias("salt"))
+    met = postings.withColumn("salt", dealt()).withColumn("own", F.struct("cid", "n", "pos")).join(heads, ["token", "salt"])
+    met = met.where((F.col("own.cid") != F.col("pivot.cid")) & filters("own", "pivot", least))
+    shared = met.groupBy(F.col("own.cid").alias("x"), F.col("pivot.cid").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))
+    best = shared.withColumn("rank", rank).where(F.col("rank") <= PROPOSALS)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def crossing_pairs(postings: DataFrame, label: DataFrame, tested: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) not yet tested that share a posted shingle, are in different components and pass the filters."""
+    held = postings.join(label.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed_lists = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    held = held.join(mixed_lists, "token", "left_semi")
+    # of a pair the smaller set (x) needs the shingle in the part of its prefix that sets of its size or more leave it
+    x = held.where(F.expr(f"pos <= n - {needed_sql('n', 'n', least)}")).withColumn("salt", dealt()).alias("x")
+    y = held.withColumn("salt", F.explode(F.sequence(F.lit(0), copies("code") - 1))).alias("y")
+    smaller = F.expr("x.component <> y.component and (x.n < y.n or x.n = y.n and x.cid < y.cid)")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & smaller & filters("x", "y", least))
+    pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Those of the pairs (a, b) that are similar enough, each tested once on whole sets (cid, shingles)."""
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), least) for x, y in both]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def cross_pairs(multi: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a posting list, are in different components and pass the filters."""
-    held = multi.select("token", "id", "n", "pos").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lists = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_lists = durable(held.join(lists, "token", "left_semi"))
-    groups = open_lists.select("token", "component").distinct()
-    crossing = groups.toDF("token", "ca").join(groups.toDF("token", "cb"), "token").where("ca < cb")
-    left = open_lists.select("token", F.col("component").alias("ca"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("i"))
-    right = open_lists.select("token", F.col("component").alias("cb"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"))
-    nx, ny = F.col("nx"), F.col("ny")
-    joined = crossing.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(long_enough(nx, ny))
-    pairs = joined.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("common"), F.max("i").alias("i"), F.max("j").alias("j"))
-    most = F.col("common") + F.least(nx - F.col("i") - 1, ny - F.col("j") - 1)
-    return pairs.where(most >= needed_column(nx, ny)).select(*ordered("x", "y")).distinct()
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST, bits: int = SLOT_BITS) -> DataFrame:
+def class_components(rows: DataFrame, scratch: Scratch, text_col: str, words: int, least: tuple[int, int]) -> DataFrame:
+    """node and component (cids) of the classes that have links."""
+    total = rows.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    parts = -(-total // PART_SHINGLES) or 1
+    codes = scratch.write(rarity(rows, text_col, words, parts))
+    shared = scratch.write(prefixes(rows, codes, text_col, words, least, parts))
+    scratch.drop(codes)
+    postings = shared.select("cid", "n", F.explode("prefix").alias("x")).select("cid", "n", "x.token", "x.pos", "x.code")
+    sets = shared.select("cid", "shingles")
+    tested = scratch.write(pivot_pairs(postings, least))
+    links = scratch.write(verified(tested, sets, least))
+    label = components(links, scratch)
+    more = scratch.write(verified(scratch.write(crossing_pairs(postings, label, tested, least)), sets, least))
+    if not more.isEmpty():
+        label = components(links.union(more), scratch)
+    scratch.drop(shared)
+    return label
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """One row per row of ``df``: its id, n_shingles and component_id, the smallest id that links lead to.
 
-    A null or empty text, or one without words, has no shingles and no link. Rows that share an id are one document: a link of any of their texts is its
-    link. Rows without an id take part only through rows with an equal set: they get those rows' component, or null. An empty table gives no rows;
-    other columns of ``df`` are not read.
+    A null or empty text, or one without words, has no shingles and no link. Every row is a document of its own: rows that share an id are linked by their
+    texts alone, and rows with equal sets are linked. Rows without an id link others, and get the component of those that have ids, or null.
+    Ids must be whole numbers or texts of such. A very long text is worked on in blocks; its set is held by one task. An empty table gives no rows;
+    other columns of ``df`` are not read, whatever their names.
     """
+    scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = durable(prefixes(docs, frequencies(docs, words, bits), words, least))
-    classes = durable(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")).where("id is not null"))
-    listed = classes.select("id", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x")).select("id", "n", "pos", F.col("x.prefix").alias("token"), F.col("x.parts").alias("split"))
-    part = F.expr("if(split > 0, pmod(xxhash64(id), shiftleft(1L, cast(split as int))), 0L)")
-    members = Window.partitionBy("token", "part")
-    pivot = F.min(F.struct(F.hash("id").alias("order"), "id", "n", "pos")).over(members)
-    multi = listed.withColumn("part", part).withColumn("pivot", pivot).withColumn("many", F.count(F.lit(1)).over(members)).where("many > 1 or split > 0")
-    multi = durable(multi.select("token", "id", "n", "pos", "split", "pivot"))
-    links = durable(verified(durable(pivot_pairs(multi)), docs, words, least))
-    label = components(links)
-    more = durable(verified(durable(cross_pairs(multi, label)), docs, words, least))
-    if not more.isEmpty():
-        label = components(links.union(more))
-    found = classes.select("k1", "k2", "n", "id", "rows").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    told = found.where("rows > 1 or component <> id").select("k1", "k2", "n", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = sets.select("id", "n", "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows.join(told, ["k1", "k2", "n", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    rows = scratch.write(class_rows(docs, "id", "text", words))
+    label = class_components(rows, scratch, "text", words, least)
+    found = rows.select("k1", "k2", "n", "id", "rows", "cid").join(label.toDF("cid", "component"), "cid", "left")
+    least_ids = found.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = found.join(least_ids, "component", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    told = linked.where("rows > 1 or component is not null").select("k1", "k2", "n", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    told = scratch.write(told)
+    scratch.drop_all_but(told)
+    own = keyed(docs, "text", ["id"], words).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    out = own.join(told, ["k1", "k2", "n", "salt"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The rows of ``df`` that stay: of each group that links lead through one row, the one with the smallest id (nulls last, ties by content).
+
+    Rows whose text has no word all stay. A repeated row stays once, and rows that share an id are told apart by their texts. Other columns are kept as
+    they are, unless they are called as the working columns rows, n, k1, k2, cid or block: those are kept under other names meanwhile.
+    """
+    scratch = Scratch(df.sparkSession)
+    names = {c: f"c{i}_" for i, c in enumerate(df.columns)}
+    own = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    i, t = names[id_col], names[text_col]
+    rows = scratch.write(class_rows(own, i, t, words))
+    label = class_components(rows, scratch, t, words, least)
+    linked = rows.select("cid", i, "k1").join(label.toDF("cid", "component"), "cid")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col(i).isNull(), i, "k1", "cid")).alias("first")).select("first.cid")
+    gone = scratch.write(linked.select("cid").join(first, "cid", "left_anti"))
+    scratch.drop_all_but(rows, gone)
+    kept = rows.join(gone, "cid", "left_anti").select(*names.values())
+    wordless = own.where(~F.coalesce(F.col(t), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.union(wordless).toDF(*df.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bytes_of
-from tessera.llm.ngram_join import BASE, POWERS, U, mixed
+from tessera.llm.shingles import U, mixed
 
 LENGTH = 50
 GRAM = 20
@@ -41,6 +41,37 @@ NONE, SAME, MIXED, DEALT = 0, 1, 2, 3
 LOWEST = np.iinfo(np.int64).min
 
 
+#: An odd number, the base of rolling hashes.
+BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of BASE and of its inverse, modulo 2**64. Those for CHUNK bytes are kept; more are made anew."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = self.up, self.down
+        if n > len(up):
+            size = 1 << (n - 1).bit_length()
+            with np.errstate(over="ignore"):
+                up, down = (self.powers(base, size) for base in (BASE, pow(BASE, -1, 1 << 64)))
+            if size <= 2 * CHUNK:
+                self.up, self.down = up, down
+        return up[:n], down[:n]
+
+    @staticmethod
+    def powers(base: int, size: int) -> np.ndarray:
+        out = np.ones(1, U)
+        while len(out) < size:
+            out = np.concatenate([out, out * U(pow(base, len(out), 1 << 64))])
+        return out
+
+
+POWERS = Powers()
+
+
 class Texts:
     """Documents end to end, and their windows' segments: key (of the anchor), content, first window's place, windows, document."""
 

@@ -130,7 +130,7 @@ def similar_rows(seed, n=120):
 def test_similar_groups(spark, monkeypatch, seed, part):
     monkeypatch.setattr(ngram_join, "PART", part)  # 1: every list is dealt to parts
     rows = similar_rows(seed)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(frame(spark, rows), bits=10).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(frame(spark, rows)).collect()}
     assert got == similar_by_brute_force(rows)
 
 
