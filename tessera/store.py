@@ -1,7 +1,8 @@
 """Tables on shared storage: Parquet files, and a version file per change that names the current ones.
 
-A change writes new data files, then creates the next version file, which fails if another change came first; readers see the version before or
-the version after. Columns are kept by number, so adding, dropping, renaming and retyping them touches no data: files keep the columns that they
+A change writes new data files, then the next version file under a name of its own, and moves that to its place, which fails if another change came
+first; readers see the version before or the version after, never half a file. That holds where a rename that must not replace is one step (HDFS); an
+object store needs its conditional put instead. Files are named relative to the table's folder, so renaming a table is one move. Columns are kept by number, so adding, dropping, renaming and retyping them touches no data: files keep the columns that they
 were written with, and a read brings them to the current ones. DELETE and UPDATE rewrite only files that hold a matching row.
 """
 
@@ -11,7 +12,7 @@ import copy
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +27,16 @@ class Files:
         jvm = spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.path = jvm.org.apache.hadoop.fs.Path
+        self.gateway, self.context = spark.sparkContext._gateway, jvm.org.apache.hadoop.fs.FileContext
+        self.rename_kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
         self.fs = self.path(root).getFileSystem(self.conf)
         self.utils = jvm.org.apache.commons.io.IOUtils
         self.utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
 
     def names(self, folder: str) -> list[str]:
         p = self.path(folder)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
+        found = (s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else ()
+        return sorted(n for n in found if not n.startswith("."))
 
     def read(self, path: str) -> str:
         stream = self.fs.open(self.path(path))
@@ -41,26 +45,58 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> None:
-        """Fails if the path exists."""
-        stream = self.fs.create(self.path(path), False)
+    def create(self, path: str, text: str, replace: bool = False) -> None:
+        """The whole text appears at the path at once; fails if the path exists, unless it may be replaced."""
+        folder, _, name = path.rpartition("/")
+        own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        stream = self.fs.create(self.path(own), False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        try:
+            kinds = self.gateway.new_array(self.rename_kind, 1)
+            kinds[0] = self.rename_kind.OVERWRITE if replace else self.rename_kind.NONE
+            self.context.getFileContext(self.path(own).toUri(), self.conf).rename(self.path(own), self.path(path), kinds)
+        finally:
+            self.fs.delete(self.path(own), False)
 
-    def delete(self, path: str) -> None:
-        self.fs.delete(self.path(path), True)
+    def delete(self, path: str) -> bool:
+        return self.fs.delete(self.path(path), True)
 
     def rename(self, old: str, new: str) -> None:
         if not self.fs.rename(self.path(old), self.path(new)):
             raise OSError(f"{old} can't be renamed to {new}")
 
 
+class Catalogue:
+    """Small things that are kept beside the tables: types, views, schemas, each a file of JSON."""
+
+    def __init__(self, files: Files, root: str):
+        self.files, self.root = files, f"{root}/_catalogue"
+
+    def path(self, kind: str, name: str) -> str:
+        return f"{self.root}/{kind}/{name.lower()}.json"
+
+    def names(self, kind: str) -> list[str]:
+        return [n.removesuffix(".json") for n in self.files.names(f"{self.root}/{kind}")]
+
+    def get(self, kind: str, name: str) -> dict | None:
+        return json.loads(self.files.read(self.path(kind, name))) if name.lower() in self.names(kind) else None
+
+    def put(self, kind: str, name: str, what: dict, replace: bool = False) -> None:
+        self.files.create(self.path(kind, name), json.dumps(what), replace)
+
+    def drop(self, kind: str, name: str) -> bool:
+        return bool(self.files.delete(self.path(kind, name)))
+
+
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str, enums: EnumRegistry | None = None):
-        self.spark, self.root, self.enums = spark, root.rstrip("/"), enums or EnumRegistry()
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, self.root)
+        self.catalogue = Catalogue(self.files, self.root)
+        self.enums = EnumRegistry(self.catalogue)
 
     # versions
 
@@ -77,11 +113,14 @@ class TableStore:
         versions = self.files.names(f"{self.folder(name)}/versions")
         if not versions:
             raise CatalogError(f"Table with name {name} does not exist")
-        return json.loads(self.files.read(f"{self.folder(name)}/versions/{versions[-1]}"))
+        return json.loads(self.files.read(f"{self.folder(name)}/versions/{versions[-1]}")) | {"name": name}
 
     def commit(self, name: str, meta: dict) -> None:
         meta["version"] += 1
-        self.files.create(f"{self.folder(name)}/versions/{meta['version']:012d}.json", json.dumps(meta))
+        self.files.create(f"{self.folder(name)}/versions/{meta['version']:012d}.json", json.dumps({k: v for k, v in meta.items() if k != "name"}))
+
+    def places(self, meta: dict, files: list[str]) -> list[str]:
+        return [f"{self.folder(meta['name'])}/{f}" for f in files]
 
     # DDL
 
@@ -108,15 +147,11 @@ class TableStore:
         return True
 
     def rename(self, name: str, new: str) -> None:
+        """One move of the folder: the version file names files relative to it."""
         self.meta(name)
         if self.exists(new):
             raise CatalogError(f"Table with name {new} already exists")
-        meta = self.meta(name)
-        old_folder, new_folder = self.folder(name), self.folder(new)
-        self.files.rename(old_folder, new_folder)
-        for group in meta["groups"]:
-            group["files"] = [f.replace(old_folder + "/", new_folder + "/", 1) for f in group["files"]]
-        self.commit(new, meta)
+        self.files.rename(self.folder(name), self.folder(new))
 
     @staticmethod
     def column(meta: dict, name: str) -> dict | None:
@@ -229,7 +264,7 @@ class TableStore:
     def group(self, meta: dict, group: dict) -> DataFrame:
         """The rows of files that were written with one set of columns, as the current ones."""
         stored = T.StructType([T.StructField(f"c{i}", T._parse_datatype_string(kind)) for i, kind in group["columns"].items()])
-        raw = self.spark.read.schema(stored).parquet(*group["files"])
+        raw = self.spark.read.schema(stored).parquet(*self.places(meta, group["files"]))
         return raw.select(*self.current(meta, group))
 
     def current(self, meta: dict, group: dict) -> list[Column]:
@@ -248,18 +283,18 @@ class TableStore:
 
     def write(self, name: str, meta: dict, rows: DataFrame) -> dict | None:
         """Writes rows (the current columns, in order) to new files; what the version file says of them, or None if there are none."""
-        folder = f"{self.folder(name)}/data/{uuid.uuid4().hex}"
+        folder = f"data/{uuid.uuid4().hex}"
         values = []
         for field, c in zip(rows.columns, meta["columns"], strict=True):
             value = checked(F.col(f"`{field}`"), c["type"], self.enums)
             if not c["nullable"]:
                 value = F.when(value.isNull(), F.raise_error(F.lit(f"NOT NULL constraint failed: {name}.{c['name']}"))).otherwise(value)
             values.append(value.cast(spark_type(c["type"], self.enums)).alias(f"c{c['id']}"))
-        rows.select(*values).write.parquet(folder)
-        files = [f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("part-")]
+        written = Observation()
+        rows.select(*values).observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.folder(name)}/{folder}")
+        files = [f"{folder}/{n}" for n in self.files.names(f"{self.folder(name)}/{folder}") if n.startswith("part-")]
         kinds = {str(c["id"]): spark_type(c["type"], self.enums).simpleString() for c in meta["columns"]}
-        n = self.spark.read.schema("c0 int").parquet(*files).count() if files else 0  # from the files' footers
-        return {"columns": kinds, "files": files, "rows": n} if n else None
+        return {"columns": kinds, "files": files, "rows": written.get["rows"]} if written.get["rows"] else None
 
     @staticmethod
     def joined(groups: list[dict]) -> list[dict]:
@@ -298,30 +333,45 @@ class TableStore:
         matched, kept, new = 0, [], []
         for group in meta["groups"]:
             stored = T.StructType([T.StructField(f"c{i}", T._parse_datatype_string(kind)) for i, kind in group["columns"].items()])
-            raw = self.spark.read.schema(stored).parquet(*group["files"])
-            found = raw.select(*self.current(meta, group), F.col("_metadata.file_path").alias("__file")).where(hit)
+            raw = self.spark.read.schema(stored).parquet(*self.places(meta, group["files"]))
+            found = raw.select(*self.current(meta, group), F.col("_metadata.file_path").alias("__file")).alias(name.rsplit(".", 1)[-1])
+            # the predicate as it stands, so that files and row groups are skipped by their statistics
+            found = found.where(predicate) if predicate else found
             touched = {r["__file"]: r["n"] for r in found.groupBy("__file").agg(F.count("*").alias("n")).collect()}
             if not touched:
                 kept.append(group)
                 continue
-            names = {f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for f in touched}
-            old = [f for f in group["files"] if f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] in names]
+            names = {"/".join(f.rsplit("/", 2)[-2:]) for f in touched}
+            old = [f for f in group["files"] if "/".join(f.rsplit("/", 2)[-2:]) in names]
             matched += sum(touched.values())
-            rows = self.group(meta, group | {"files": old})
+            rows = self.group(meta, group | {"files": old}).alias(name.rsplit(".", 1)[-1])
+            columns, seen = rows.columns, Observation()
+            rows = rows.withColumn("__hit", hit).observe(seen, F.count(F.lit(1)).alias("rows"))
             if change is None:
-                rows = rows.where(~hit)
+                rows = rows.where("not __hit").select(*(f"`{c}`" for c in columns))
             else:
                 sets = {self.column(meta, c)["name"]: v for c, v in change.items()}
-                rows = rows.select(*(F.when(hit, F.expr(sets[c]).cast(rows.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in rows.columns))
-            before = self.spark.read.schema("c0 int").parquet(*old).count()
-            kept.append(group | {"files": [f for f in group["files"] if f not in old], "rows": group["rows"] - before})
-            if written := self.write(name, meta, rows):
+                rows = rows.select(*(F.when(F.col("__hit"), F.expr(sets[c]).cast(rows.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in columns))
+            written = self.write(name, meta, rows)
+            kept.append(group | {"files": [f for f in group["files"] if f not in old], "rows": group["rows"] - seen.get["rows"]})
+            if written:
                 new.append(written)
         if matched:
             meta["groups"] = self.joined([g for g in [*kept, *new] if g["files"]])
             self.commit(name, meta)
         return matched
 
+    def compact(self, name: str, rows_per_file: int = 1_000_000) -> int:
+        """Rewrites the table into files of about so many rows, in the current columns, as one group. Returns the number of files."""
+        meta = self.meta(name)
+        total = sum(g["rows"] for g in meta["groups"])
+        if not total:
+            return 0
+        new = self.write(name, meta, self.frame(meta).repartition(-(-total // rows_per_file)))
+        meta["groups"] = [new]
+        self.commit(name, meta)
+        return len(new["files"])
+
     def delete(self, name: str, predicate: str | None = None) -> int:
         """Rows for which the predicate is null stay. Returns the number of rows deleted."""
         return self.rewrite(name, predicate, None)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -49,23 +48,31 @@ MICROS_PER_DAY = 86_400_000_000
 
 
 class EnumRegistry:
-    """ENUM types: a name and its labels in order of declaration."""
+    """ENUM types: a name and its labels in order of declaration. With a catalogue they are kept beside the tables, and outlive the session."""
 
-    def __init__(self):
+    def __init__(self, catalogue=None):
         self.labels: dict[str, tuple[str, ...]] = {}
+        self.catalogue = catalogue
 
     def create(self, name: str, labels: list[str]) -> None:
-        if name.lower() in self.labels:
+        if self.get(name):
             raise ValueError(f"type {name} already exists")
         if len(set(labels)) != len(labels) or not labels:
             raise ValueError("an ENUM needs labels, each once")
+        if self.catalogue:
+            self.catalogue.put("types", name, {"labels": labels})
         self.labels[name.lower()] = tuple(labels)
 
     def drop(self, name: str, if_exists: bool = False) -> None:
-        if self.labels.pop(name.lower(), None) is None and not if_exists:
+        if not self.get(name) and not if_exists:
             raise ValueError(f"type {name} does not exist")
+        self.labels.pop(name.lower(), None)
+        if self.catalogue:
+            self.catalogue.drop("types", name)
 
     def get(self, name: str) -> tuple[str, ...] | None:
+        if name.lower() not in self.labels and self.catalogue and name.isidentifier() and (kept := self.catalogue.get("types", name)):
+            self.labels[name.lower()] = tuple(kept["labels"])
         return self.labels.get(name.lower())
 
 
@@ -155,7 +162,3 @@ def interval_micros(value: Column) -> Column:
     """What intervals are compared by: a month counts as 30 days."""
     days = value["months"].cast("decimal(38,0)") * 30 + value["days"]
     return days * MICROS_PER_DAY + value["micros"]
-
-
-def canonical_uuid(text: str) -> str:
-    return str(uuid.UUID(text))

@@ -52,34 +52,57 @@ def test_update(engine):
     assert rows(engine, "SELECT * FROM dh.people ORDER BY id") == [(1, "x", 31), (2, "Bob", None), (3, "x", 51)]
 
 
-def test_alter_sequence(engine):
-    engine.sql("CREATE TABLE dh.t (id INTEGER, name VARCHAR)")
-    engine.sql("INSERT INTO dh.t VALUES (1, 'Alice'), (2, 'Bob')")
-    engine.sql("ALTER TABLE dh.t ADD COLUMN age INTEGER")
-    engine.sql("INSERT INTO dh.t VALUES (3, 'Charlie', 30)")
-    assert rows(engine, "SELECT * FROM dh.t ORDER BY id") == [(1, "Alice", None), (2, "Bob", None), (3, "Charlie", 30)]
-    engine.sql("ALTER TABLE dh.t RENAME COLUMN name TO full_name")
-    engine.sql("ALTER TABLE dh.t DROP COLUMN age")
-    engine.sql("ALTER TABLE dh.t ADD COLUMN status VARCHAR DEFAULT 'active'")
-    assert rows(engine, "SELECT * FROM dh.t ORDER BY id") == [(1, "Alice", "active"), (2, "Bob", "active"), (3, "Charlie", "active")]
-    engine.sql("INSERT INTO dh.t (id, full_name, status) VALUES (4, 'David', 'pending')")
-    engine.sql("INSERT INTO dh.t (id, full_name, status) VALUES (5, 'Eve', NULL)")
-    engine.sql("INSERT INTO dh.t (id) VALUES (6)")
-    assert rows(engine, "SELECT status FROM dh.t WHERE id > 3 ORDER BY id") == [("pending",), (None,), ("active",)]
-    engine.sql("ALTER TABLE dh.t ADD COLUMN age INTEGER")  # a new column, not the one dropped before
-    assert rows(engine, "SELECT DISTINCT age FROM dh.t") == [(None,)]
-    engine.sql("ALTER TABLE dh.t DROP COLUMN IF EXISTS nothing")
-    engine.sql("ALTER TABLE dh.t ADD COLUMN IF NOT EXISTS age INTEGER")
-    engine.sql("ALTER TABLE dh.t ALTER COLUMN id TYPE BIGINT")
-    assert engine.sql("SELECT id FROM dh.t").schema["id"].dataType.simpleString() == "bigint"
-    engine.sql("ALTER TABLE dh.t ALTER COLUMN status SET DEFAULT 'new'")
-    engine.sql("INSERT INTO dh.t (id) VALUES (7)")
-    assert rows(engine, "SELECT status FROM dh.t WHERE id = 7") == [("new",)]
-    for action in ("DROP COLUMN x", "DROP COLUMN IF EXISTS x"):
-        with pytest.raises(CatalogError, match="Table with name nonexistent does not exist"):
-            engine.sql(f"ALTER TABLE dh.nonexistent {action}")
+def parcels(engine):
+    engine.sql("CREATE TABLE dh.parcels (code VARCHAR, grams BIGINT)")
+    engine.sql("INSERT INTO dh.parcels VALUES ('p-1', 250), ('p-2', 900)")
+
+
+def test_columns_come_and_go_without_touching_files(engine):
+    parcels(engine)
+    files = [g["files"] for g in engine.store.meta("parcels")["groups"]]
+    for action in ("ADD COLUMN route VARCHAR DEFAULT 'sea'", "ADD COLUMN weight_class INTEGER", "RENAME COLUMN grams TO mass", "DROP COLUMN weight_class"):
+        engine.sql(f"ALTER TABLE dh.parcels {action}")
+    assert [g["files"] for g in engine.store.meta("parcels")["groups"]] == files
+    assert rows(engine, "SELECT code, mass, route FROM dh.parcels ORDER BY mass") == [("p-1", 250, "sea"), ("p-2", 900, "sea")]
+
+
+def test_a_column_added_again_is_a_new_one(engine):
+    parcels(engine)
+    engine.sql("ALTER TABLE dh.parcels DROP COLUMN grams")
+    engine.sql("ALTER TABLE dh.parcels ADD COLUMN IF NOT EXISTS grams BIGINT")
+    engine.sql("ALTER TABLE dh.parcels ADD COLUMN IF NOT EXISTS grams VARCHAR")  # nothing to do
+    engine.sql("INSERT INTO dh.parcels (grams) VALUES (7)")
+    assert rows(engine, "SELECT grams, code FROM dh.parcels ORDER BY code NULLS FIRST") == [(7, None), (None, "p-1"), (None, "p-2")]
+
+
+def test_defaults_hold_from_when_they_are_set(engine):
+    parcels(engine)
+    engine.sql("ALTER TABLE dh.parcels ADD COLUMN route VARCHAR DEFAULT 'sea'")
+    engine.sql("ALTER TABLE dh.parcels ALTER COLUMN route SET DEFAULT 'air'")
+    engine.sql("INSERT INTO dh.parcels (code) VALUES ('p-3')")
+    engine.sql("INSERT INTO dh.parcels (code, route) VALUES ('p-4', NULL)")
+    engine.sql("ALTER TABLE dh.parcels ALTER COLUMN route DROP DEFAULT")
+    engine.sql("INSERT INTO dh.parcels (code) VALUES ('p-5')")
+    assert rows(engine, "SELECT route FROM dh.parcels ORDER BY code") == [("sea",), ("sea",), ("air",), (None,), (None,)]
+
+
+def test_type_change_shows_in_the_schema(engine):
+    parcels(engine)
+    engine.sql("ALTER TABLE dh.parcels ALTER grams SET DATA TYPE DECIMAL(9,1)")
+    assert engine.sql("SELECT grams FROM dh.parcels").schema["grams"].dataType.simpleString() == "decimal(9,1)"
+
+
+def test_alterations_that_are_refused(engine):
+    parcels(engine)
+    for action in ("DROP COLUMN no_such", "RENAME COLUMN no_such TO x", "ADD COLUMN code INTEGER", "RENAME COLUMN code TO grams"):
+        with pytest.raises(CatalogError):
+            engine.sql(f"ALTER TABLE dh.parcels {action}")
+    engine.sql("ALTER TABLE dh.parcels DROP COLUMN IF EXISTS no_such")
+    engine.sql("ALTER TABLE IF EXISTS dh.crates DROP COLUMN code")
+    with pytest.raises(CatalogError, match="Table with name crates does not exist"):  # also if only the column may be missing
+        engine.sql("ALTER TABLE dh.crates DROP COLUMN IF EXISTS code")
     with pytest.raises(NotImplementedError):
-        engine.sql("ALTER TABLE dh.t CLUSTER BY id")
+        engine.sql("ALTER TABLE dh.parcels PARTITION BY code")
 
 
 def test_not_null(engine):
@@ -141,23 +164,29 @@ def test_registration(engine):
             engine.sql(f"PRAGMA unregister_remote_table('{name}')")
 
 
-def test_workers(engine):
+def count_of_workers(engine):
+    return engine.sql("SELECT get_worker_count()").first()[0]
+
+
+def test_workers_register_with_a_server_that_runs(engine):
     with pytest.raises(RuntimeError):
-        engine.sql("SELECT register_worker('w', 'grpc://localhost:1')")
-    engine.sql("SELECT start_local_server(8815)")
-    counts = [rows(engine, "SELECT get_worker_count()")]
-    for i in (1, 2):
-        engine.sql(f"SELECT register_worker('w{i}', 'grpc://localhost:{i}')")
-        counts.append(rows(engine, "SELECT main.get_worker_count()"))
-    for i in (1, 2, 3):
-        engine.sql(f"SELECT register_or_replace_driver('d{i}', 'grpc://localhost:8815')")
-    counts.append(rows(engine, "SELECT get_worker_count()"))
-    assert counts == [[(0,)], [(1,)], [(2,)], [(2,)]]
-    engine.sql("SELECT start_standalone_worker(29101)")
+        engine.sql("SELECT register_worker('early', 'grpc://node:7')")
+    engine.sql("SELECT start_local_server(7000, 2)")
+    assert count_of_workers(engine) == 2
+    engine.sql("SELECT main.register_worker('more', 'grpc://node:7')")
+    engine.sql("SELECT register_or_replace_driver('one', 'grpc://head:7000')")
+    engine.sql("SELECT register_or_replace_driver('other', 'grpc://head:7000')")  # drivers are no workers
+    assert count_of_workers(engine) == 3
+
+
+def test_a_port_is_taken_once_and_all_ends_with_the_server(engine):
+    engine.sql("SELECT start_local_server(7000)")
+    engine.sql("SELECT start_standalone_worker(7001)")
     with pytest.raises(ValueError):
-        engine.sql("SELECT start_standalone_worker(29101)")
+        engine.sql("SELECT start_standalone_worker(7001)")
+    assert count_of_workers(engine) == 1
     engine.sql("SELECT stop_local_server()")
-    assert rows(engine, "SELECT get_worker_count()") == [(0,)]
+    assert count_of_workers(engine) == 0
 
 
 def test_attach_needs_its_name(engine):
@@ -203,3 +232,133 @@ def test_load_extension(engine):
     assert rows(engine, "SELECT load_extension('json')") == [(True,)]
     with pytest.raises(Exception):
         engine.sql("SELECT load_extension('no_such_format')")
+
+
+def test_predicates_with_subqueries(engine):
+    people(engine)
+    engine.sql("CREATE TABLE dh.banned (who INTEGER)")
+    engine.sql("INSERT INTO dh.banned VALUES (1), (NULL)")
+    engine.sql("UPDATE dh.people SET age = (SELECT MAX(age) FROM dh.people), name = concat(name, '!') WHERE EXISTS (SELECT 1 FROM dh.banned WHERE who = people.id)")
+    assert rows(engine, "SELECT * FROM dh.people ORDER BY id") == [(1, "Ann!", 50), (2, "Bob", None), (3, "Cy", 50)]
+    assert rows(engine, "DELETE FROM dh.people WHERE id NOT IN (SELECT who FROM dh.banned)") == [(0,)]  # null for all others
+    assert rows(engine, "DELETE FROM dh.people WHERE id IN (SELECT who FROM dh.banned) OR age IS NULL") == [(2,)]
+    assert rows(engine, "SELECT id FROM dh.people") == [(3,)]
+    assert not [v.name for v in engine.spark.catalog.listTables() if v.name.startswith("tessera_")]
+
+
+def test_views_are_resolved_when_they_are_read(engine, spark):
+    from tessera.engine import Engine
+
+    people(engine)
+    engine.sql("CREATE VIEW dh.old AS SELECT * FROM dh.people WHERE age >= 40")
+    engine.sql("CREATE TEMP VIEW names AS SELECT name FROM old")
+    engine.sql("INSERT INTO dh.people VALUES (4, 'Di', 90)")
+    assert rows(engine, "SELECT name FROM names ORDER BY name") == [("Cy",), ("Di",)]
+    again = Engine(spark, engine.store.root)
+    assert rows(again, "SELECT COUNT(*) FROM dh.old") == [(2,)]
+    with pytest.raises(Exception, match="names"):
+        again.sql("SELECT * FROM names")
+    for bad in ("CREATE VIEW dh.old AS SELECT 1", "CREATE VIEW dh.people AS SELECT 1", "CREATE TABLE dh.old (i INTEGER)", "DROP VIEW dh.nothing"):
+        with pytest.raises(CatalogError):
+            engine.sql(bad)
+    with pytest.raises(Exception, match="no_such"):
+        engine.sql("CREATE VIEW dh.broken AS SELECT no_such FROM dh.people")
+    engine.sql("CREATE VIEW IF NOT EXISTS dh.old AS SELECT 1")
+    engine.sql("CREATE OR REPLACE VIEW dh.old AS SELECT 7 AS seven")
+    assert rows(engine, "SELECT * FROM old") == [(7,)]
+    engine.sql("DROP VIEW dh.old")
+    engine.sql("DROP VIEW IF EXISTS dh.old")
+    with pytest.raises(CatalogError):
+        engine.sql("SELECT * FROM dh.old")
+
+
+def test_schemas(engine):
+    people(engine)
+    engine.sql("CREATE SCHEMA dh.hr")
+    engine.sql("CREATE SCHEMA IF NOT EXISTS hr")
+    engine.sql("CREATE TABLE dh.hr.people (id INTEGER)")
+    engine.sql("INSERT INTO hr.people VALUES (77)")
+    engine.sql("ALTER TABLE hr.people RENAME TO staff")
+    assert rows(engine, "SELECT s.id, p.name FROM hr.staff s, main.people p WHERE p.id = 3") == [(77, "Cy")]
+    assert rows(engine, "SELECT schema_name, table_name FROM dh_tables() ORDER BY 1") == [("hr", "staff"), ("main", "people")]
+    for bad in ("CREATE SCHEMA hr", "DROP SCHEMA hr", "DROP SCHEMA main", "DROP SCHEMA nothing", "CREATE TABLE nothing.t (i INTEGER)"):
+        with pytest.raises(CatalogError):
+            engine.sql(bad)
+    engine.sql("DROP SCHEMA hr CASCADE")
+    engine.sql("DROP SCHEMA IF EXISTS hr")
+    assert engine.store.tables() == ["people"]
+
+
+def test_list_syntax(engine):
+    engine.sql("CREATE TABLE dh.l (id INTEGER, i INTEGER[], s VARCHAR[], d DATE[])")
+    engine.sql("INSERT INTO dh.l VALUES (1, [4, NULL, 6], ['a]', 'b'], ['2024-02-29']), (2, [], NULL, []), (3, NULL, ['x'], NULL)")
+    assert rows(engine, "SELECT id, len(i), i[1], i[-1], i[0], i[9], s[1], len(s[1]) FROM dh.l ORDER BY id") == [(1, 3, 4, 6, None, None, "a]", 2), (2, 0, None, None, None, None, None, None), (3, None, None, None, None, None, "x", 1)]
+    assert rows(engine, "SELECT id FROM dh.l WHERE len(i) > 2 AND list_contains(i, 6) AND NOT list_contains(i, 5)") == [(1,)]
+    assert rows(engine, "SELECT unnest(i) AS x FROM dh.l ORDER BY x NULLS LAST") == [(4,), (6,), (None,)]
+    assert rows(engine, "SELECT i[2:], i[:1], [[1], [2, 3]][2][1], 'no [1]' FROM dh.l WHERE id = 1") == [([None, 6], [4], 2, "no [1]")]
+    assert rows(engine, 'SELECT "id" FROM dh.l WHERE i = [4, NULL, 6] OR s = [\'x\']::VARCHAR[] ORDER BY "id"')[-1] == (3,)
+    assert rows(engine, "UPDATE dh.l SET i = [len(s), 0] WHERE len(s) = 1") == [(1,)]
+    assert rows(engine, "SELECT i FROM dh.l WHERE id = 3") == [([1, 0],)]
+
+
+def test_types_outlive_the_session(engine, spark):
+    from tessera.engine import Engine
+
+    engine.sql("CREATE TYPE size AS ENUM ('small', 'large')")
+    engine.sql("CREATE TABLE dh.shirts (id INTEGER, s size)")
+    again = Engine(spark, engine.store.root)
+    again.sql("INSERT INTO dh.shirts VALUES (1, 'large')")
+    with pytest.raises(Exception, match="has no label"):
+        again.sql("INSERT INTO dh.shirts VALUES (2, 'huge')")
+    with pytest.raises(ValueError):
+        again.sql("CREATE TYPE size AS ENUM ('x')")
+    assert rows(again, "SELECT s FROM dh.shirts") == [("large",)]
+
+
+def test_renaming_is_one_move(engine, monkeypatch):
+    people(engine)
+    monkeypatch.setattr(engine.store, "commit", lambda *_: pytest.fail("no commit is needed"))
+    engine.sql("ALTER TABLE dh.people RENAME TO folk")
+    assert rows(engine, "SELECT COUNT(*) FROM dh.folk") == [(3,)] and not engine.store.exists("people")
+
+
+def test_readers_see_whole_versions_only(engine):
+    people(engine)
+    folder = f"{engine.store.folder('people')}/versions"
+    files = engine.store.files
+    stream = files.fs.create(files.path(f"{folder}/.000000000099.json-left-behind"), False)
+    stream.write(bytearray(b"{"))
+    stream.close()
+    assert engine.store.row_count("people") == 3
+    assert all(n.endswith(".json") for n in files.names(folder))
+
+
+def test_of_two_writers_one_wins(engine, spark):
+    from tessera.engine import Engine
+
+    people(engine)
+    other = Engine(spark, engine.store.root)
+    mine, theirs = engine.store.meta("people"), other.store.meta("people")
+    mine["columns"][0]["name"], theirs["columns"][0]["name"] = "a", "b"
+    engine.store.commit("people", mine)
+    with pytest.raises(Exception, match="exists"):
+        other.store.commit("people", theirs)
+    assert other.sql("SELECT * FROM dh.people").columns[0] == "a"
+
+
+def test_compaction(engine):
+    for i in range(5):
+        engine.sql("CREATE TABLE IF NOT EXISTS dh.n (i INTEGER)")
+        engine.sql(f"INSERT INTO dh.n VALUES ({i})")
+    engine.sql("ALTER TABLE dh.n ADD COLUMN s VARCHAR DEFAULT 'x'")
+    assert engine.store.compact("n") == 1 and len(engine.store.meta("n")["groups"]) == 1
+    assert rows(engine, "SELECT i, s FROM dh.n ORDER BY i") == [(i, "x") for i in range(5)] and engine.store.row_count("n") == 5
+
+
+def test_bulk_insert_of_arrow(engine):
+    import pyarrow as pa
+
+    engine.sql("CREATE TABLE dh.a (k BIGINT, t VARCHAR DEFAULT 'none')")
+    assert engine.insert_arrow("a", pa.table({"k": [1, 2]})) == 2
+    assert engine.insert_arrow("dh.a", pa.table({"t": ["x", None], "k": [3, 4]})) == 2
+    assert rows(engine, "SELECT * FROM dh.a ORDER BY k") == [(1, "none"), (2, "none"), (3, "x"), (4, None)]
