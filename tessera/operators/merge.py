@@ -7,6 +7,8 @@ plan, not by their names.
 from __future__ import annotations
 
 import dataclasses
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,10 +29,13 @@ def value(a: Agg):
 
 
 def partial(df: DataFrame, part: str, keys: Sequence[str], aggs: Sequence[Agg]) -> DataFrame:
-    """States per part and key; for distinct counts also per value, with the other states kept on one row only."""
-    states = []
+    """States per part and key. Distinct values are states, too: there is a row for each of them, and the other states add up over those rows."""
+    states, values = [], []
     for a in aggs:
         x = value(a)
+        if a.kind == "count_distinct":
+            values.append(x.alias(a.name))
+            continue
         states += {
             "count": lambda: [F.count(x).alias(a.name)],
             "sum": lambda: [F.sum(x).alias(a.name)],
@@ -38,7 +43,8 @@ def partial(df: DataFrame, part: str, keys: Sequence[str], aggs: Sequence[Agg])
             "max": lambda: [F.max(x).alias(a.name)],
             "avg": lambda: [F.sum(x).alias(f"{a.name}__sum"), F.count(x).alias(f"{a.name}__n")],
         }[a.kind]()
-    return df.groupBy(part, *keys).agg(*states)
+    groups = df.groupBy(part, *keys, *values)
+    return groups.agg(*states) if states else groups.agg(F.lit(1).alias("__one")).drop("__one")
 
 
 def merge(partials: DataFrame, keys: Sequence[str], aggs: Sequence[Agg]) -> DataFrame:
@@ -50,29 +56,25 @@ def merge(partials: DataFrame, keys: Sequence[str], aggs: Sequence[Agg]) -> Data
             "min": lambda: F.min(a.name),
             "max": lambda: F.max(a.name),
             "avg": lambda: F.sum(f"{a.name}__sum").cast("double") / F.nullif(F.sum(f"{a.name}__n"), F.lit(0)),
+            "count_distinct": lambda: F.count_distinct(a.name),
         }[a.kind]().alias(a.name))
     return partials.groupBy(*keys).agg(*out)
 
 
 def two_step(df: DataFrame, part: str, keys: Sequence[str], aggs: Sequence[Agg]) -> DataFrame:
-    """Partial per part, then final per key. With distinct counts: each part's distinct values, then their distinct count, joined on the keys (null keys are equal)."""
-    plain = [a for a in aggs if a.kind != "count_distinct"]
-    out = merge(partial(df, part, keys, plain), keys, plain) if plain or not aggs else None
-    for a in aggs:
-        if a.kind != "count_distinct":
+    """Partial per part, then final per key, in one scan (null keys are equal). A second distinct count is worked out beside the first and joined on the keys."""
+    distinct = [a for a in aggs if a.kind == "count_distinct"]
+    rest = [a for a in aggs if a.kind != "count_distinct"]
+    first = [*rest, *distinct[:1]]
+    out = merge(partial(df, part, keys, first), keys, first)
+    for a in distinct[1:]:
+        more = merge(partial(df, part, keys, [a]), keys, [a])
+        if not keys:
+            out = out.crossJoin(more)  # one row each
             continue
-        values = df.select(part, *keys, value(a).alias("__v")).distinct()
-        counts = values.groupBy(*keys).agg(F.countDistinct("__v").alias(a.name))
-        if out is None:
-            out = counts
-        elif keys:
-            right = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), a.name)
-            on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-            for more in on[1:]:
-                on[0] = on[0] & more
-            out = out.join(right, on[0]).drop(*(f"__{k}" for k in keys))
-        else:
-            out = out.crossJoin(counts)  # one row each
+        right = more.select(*(F.col(k).alias(f"__{k}") for k in keys), a.name)
+        same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+        out = out.join(right, same).drop(*(f"__{k}" for k in keys))
     return out.select(*keys, *(a.name for a in aggs))
 
 
@@ -82,8 +84,6 @@ def distinct_merge(df: DataFrame, part: str) -> DataFrame:
     return df.select(part, *columns).distinct().select(*columns).distinct()
 
 
-def concatenate(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def concatenate(df: DataFrame, part: str) -> DataFrame:
+    """The rows of all parts: they come from one scan, so there is nothing to put together but the part's number to leave out."""
+    return df.drop(part)

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from tessera.plans import ROW_GROUP
 
-ROW, PART = "__row", "__part"
+ROW, ROWS, PART = "__row", "__rows", "__part"
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Adds __row, the dense place of each row over all files in order of their paths.
+    """Adds __row, the dense place of each row over all files in order of their paths, and __rows, how many rows there are.
 
-    Spark knows a row's place in its file; the files' own starts come from one row per file, which is broadcast (as many rows as files).
+    ``df`` has the column _metadata of its scan and may be filtered: places count all rows of the files. Spark knows a row's place in its file; what is
+    before the file comes from the row counts in the files' footers, one row per file, which is broadcast by size like any small table.
     """
+    files = df.sparkSession.read.schema("c int").parquet(*df.inputFiles()).groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.orderBy("__file")
+    before = F.coalesce(F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = files.select("__file", before.alias("__start"), total.alias(ROWS))
     placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
-    files = placed.groupBy("__file").agg((F.max("__index") + 1).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("__file", before.alias("__start"))
-    return placed.join(F.broadcast(starts), "__file").withColumn(ROW, F.col("__start") + F.col("__index")).drop("__file", "__index", "__start")
+    return placed.join(starts, "__file").withColumn(ROW, F.col("__start") + F.col("__index")).drop("__file", "__index", "__start")
 
 
 def in_order(df: DataFrame, groups: dict[str, Column], within: Column, name: str) -> DataFrame:
@@ -37,13 +40,13 @@ def in_order(df: DataFrame, groups: dict[str, Column], within: Column, name: str
     return numbered.join(F.broadcast(starts), same).withColumn(name, F.col("__at") + F.col("__before")).select(*df.columns, name)
 
 
-def row_group_part(groups_per_task: int = 1, size: int = ROW_GROUP) -> Column:
-    return F.floor(F.col(ROW) / (size * groups_per_task)).cast("int")
+def rows_of(rows: int | None) -> Column:
+    return F.col(ROWS) if rows is None else F.lit(rows)
 
 
-def range_part(rows: int, n: int) -> Column:
-    """Contiguous ranges of equal size; the last one takes the rest."""
-    each = max(1, -(-rows // n))
+def range_part(n: int, rows: int | None = None) -> Column:
+    """Contiguous ranges of equal size; the last one takes the rest. rows: how many there are, as with_row counts them unless given."""
+    each = F.greatest(F.lit(1), F.ceil(rows_of(rows) / n))
     return F.least(F.floor(F.col(ROW) / each), F.lit(n - 1)).cast("int")
 
 
@@ -51,9 +54,15 @@ def modulo_part(n: int) -> Column:
     return F.pmod(F.col(ROW), F.lit(n)).cast("int")
 
 
-def single_part(rows: int, part: Column, size: int = ROW_GROUP) -> Column:
+def aligned_part(n: int, size: int = ROW_GROUP) -> Column:
+    """Whole row groups, as many for each of n parts."""
+    each = F.greatest(F.lit(1), F.ceil(F.ceil(F.col(ROWS) / size) / n)) * size
+    return F.floor(F.col(ROW) / each).cast("int")
+
+
+def single_part(part: Column, rows: int | None = None, size: int = ROW_GROUP) -> Column:
     """One partition if the table is smaller than a row group."""
-    return F.lit(0) if rows < size else part
+    return F.when(rows_of(rows) < size, F.lit(0)).otherwise(part)
 
 
 def partitioned(df: DataFrame, part: Column) -> DataFrame:
@@ -61,14 +70,9 @@ def partitioned(df: DataFrame, part: Column) -> DataFrame:
     return with_row(df).withColumn(PART, part)
 
 
-def repartitioned(df: DataFrame, part: Column, n: int) -> DataFrame:
-    """The rows of each part in a Spark partition of their own, for work that must see a part at once."""
-    return partitioned(df, part).repartition(n, PART)
-
-
-STRATEGIES: dict[str, Callable[[int, int], Column]] = {
-    "row_group": lambda rows, n: row_group_part(max(1, -(-(-(-rows // ROW_GROUP)) // n))),
+STRATEGIES: dict[str, Callable[[int], Column]] = {
+    "row_group": aligned_part,
     "range": range_part,
-    "modulo": lambda rows, n: modulo_part(n),
-    "small": lambda rows, n: single_part(rows, range_part(rows, n)),
+    "modulo": modulo_part,
+    "small": lambda n: single_part(range_part(n)),
 }

@@ -27,11 +27,47 @@ def test_rows_are_dense_over_files(numbers):
     assert [r[0] for r in placed.select(partition.ROW).orderBy(partition.ROW).collect()] == list(range(5000))
 
 
+def test_rows_keep_their_places_behind_a_filter(numbers):
+    whole = {r["id"]: r[partition.ROW] for r in partition.with_row(numbers.select("*", "_metadata")).collect()}
+    some = partition.with_row(numbers.select("*", "_metadata").where("v > 40 or k = 1")).collect()
+    assert some and all(r[partition.ROW] == whole[r["id"]] and r[partition.ROWS] == 5000 for r in some)
+
+
+def test_asof_over_buckets_and_odd_rows(spark):
+    import random
+
+    rng = random.Random(3)
+    left = [(rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), i) for i in range(200)]
+    right = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(0, 60, 7)]), i) for i in range(30)]
+    l, r = spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, u int, v int")
+    want = {}
+    for k, t, i in left:
+        before = [(u, v) for kk, u, v in right if kk == k and None not in (k, t, u) and u <= t]
+        want[i] = max(before)[1] if before else None
+    for width in (1.0, 5.0, 1000.0):
+        got = {x["i"]: x["v"] for x in joins.asof_join(l, r, ["k"], "t", "u", ["v"], width).collect()}
+        assert got == want
+    moments = spark.createDataFrame([("a", datetime.datetime(2024, 1, d, 5), d) for d in (1, 9, 20)], "k string, t timestamp_ntz, i int")
+    known = spark.createDataFrame([("a", datetime.datetime(2024, 1, 2), 7), ("a", datetime.datetime(2024, 1, 20, 5), 8)], "k string, u timestamp_ntz, v int")
+    assert {x["i"]: x["v"] for x in joins.asof_join(moments, known, ["k"], "t", "u", ["v"]).collect()} == {1: None, 9: 7, 20: 8}
+
+
+def test_intervals_of_all_lengths(spark):
+    import random
+
+    rng = random.Random(4)
+    intervals = [(a, a + rng.choice([0, 1, 3, 40, 700, 10**9]), i) for i, a in enumerate(rng.randrange(-50, 500) for _ in range(60))] + [(None, 5, 98), (5, None, 99)]
+    points = [(rng.randrange(-60, 900),) for _ in range(150)] + [(None,), (10**8,)]
+    got = joins.interval_join(spark.createDataFrame(points, "p int"), spark.createDataFrame(intervals, "lo int, hi int, i int"), "p", "lo", "hi", 2.0)
+    want = sorted((p, i) for (p,) in points for lo, hi, i in intervals if None not in (p, lo, hi) and lo <= p < hi)
+    assert sorted((r["p"], r["i"]) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("n", [1, 3, 8])
 @pytest.mark.parametrize("kind", ["range", "modulo", "row_group"])
 @pytest.mark.parametrize("where", ["true", "v > 40 or k = 1", "false"])
 def test_parts_merge_to_the_whole(numbers, n, kind, where):
-    part = {"range": partition.range_part(5000, n), "modulo": partition.modulo_part(n), "row_group": partition.row_group_part(n, 300)}[kind]
+    part = {"range": partition.range_part(n), "modulo": partition.modulo_part(n), "row_group": partition.aligned_part(n, 300)}[kind]
     dealt = partition.partitioned(numbers.select("*", "_metadata"), part).where(where)
     for keys in (["k"], []):
         whole = numbers.where(where).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.avg("v").alias("a"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.countDistinct("v").alias("d"))
@@ -41,7 +77,7 @@ def test_parts_merge_to_the_whole(numbers, n, kind, where):
 
 
 def test_small_tables_are_one_part(numbers):
-    dealt = partition.partitioned(numbers.select("*", "_metadata"), partition.single_part(5000, partition.range_part(5000, 4)))
+    dealt = partition.partitioned(numbers.select("*", "_metadata"), partition.single_part(partition.range_part(4)))
     assert dealt.select(partition.PART).distinct().count() == 1
 
 
