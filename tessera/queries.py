@@ -14,7 +14,7 @@ from tessera import sources, streaming, types
 from tessera.engine import Engine
 from tessera.operators import joins, merge, partition
 from tessera.operators.merge import Agg
-from tessera.plans import analyze, classify, contains_scan, deal, partition_info, passes_plan_gate, passes_text_gate
+from tessera.plans import analyze, classify, contains_scan, deal, parallelism, partition_info, passes_plan_gate, passes_text_gate
 from tessera.session import TABLES, Cluster
 
 #: Declared orders that differ from the alphabet's.
@@ -256,10 +256,12 @@ def list_contains(spark, d):
     return table(spark, d, "embeddings").select("vec_id", fn.list_contains(F.array(F.nullif(label, F.lit(3)), F.lit(1)), 3).alias("three"), fn.list_contains(F.array(label, F.lit(1)), 1).alias("one"))
 
 
-@query("list_literals", "select [1, 2, null] as i, [date '2024-01-01', date '2024-02-29'] as d, []::varchar[] as e, [timestamp '2024-01-01 10:00:00'] as t")
+@query("list_literals", "select [1, 2, null]::varchar as i, len([1, 2, null]) as n, [1, 2, null][2] as second, ([date '2024-01-01', date '2024-02-29'][2])::varchar as d, len([]::varchar[]) as e, strftime([timestamp '2024-01-01 10:00:00'][1], '%H:%M') as t")
 def list_literals(spark, d):
     day, moment = datetime.date, datetime.datetime
-    return sources.literal_rows(spark, [([1, 2, None], [day(2024, 1, 1), day(2024, 2, 29)], [], [moment(2024, 1, 1, 10)])], "i array<int>, d array<date>, e array<string>, t array<timestamp_ntz>")
+    l = sources.literal_rows(spark, [([1, 2, None], [day(2024, 1, 1), day(2024, 2, 29)], [], [moment(2024, 1, 1, 10)])], "i array<int>, d array<date>, e array<string>, t array<timestamp_ntz>")
+    written = F.concat(F.lit("["), F.array_join("i", ", ", "NULL"), F.lit("]"))
+    return l.select(written.alias("i"), fn.list_len("i").alias("n"), fn.list_get("i", 2).alias("second"), fn.list_get("d", 2).cast("string").alias("d"), fn.list_len("e").alias("e"), F.date_format(fn.list_get("t", 1), "HH:mm").alias("t"))
 
 
 # types
@@ -325,8 +327,7 @@ AGG_SQL = "select l_returnflag, l_linestatus, count(*) as n, sum(l_extendedprice
 def dealt(strategy: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", "l_linenumber", "l_suppkey", F.col("_metadata"))
-        rows = li.count()
-        parts = partition.partitioned(li, partition.STRATEGIES[strategy](rows, 4))
+        parts = partition.partitioned(li, partition.STRATEGIES[strategy](4))
         out = merge.two_step(parts, partition.PART, ["l_returnflag", "l_linestatus"], AGGS)
         return out.withColumns({"s": F.col("s").cast("decimal(38,2)"), "a": F.round("a", 6)})
 
@@ -355,14 +356,18 @@ def merge_distinct(spark, d):
 def merge_concat(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("_metadata")).where("o_totalprice > 100000 or o_orderstatus = 'P'")
     parts = partition.partitioned(o, partition.modulo_part(3))
-    return merge.concatenate([parts.where(F.col(partition.PART) == i).select("o_orderkey", "o_totalprice") for i in range(3)])
+    return merge.concatenate(parts.select(partition.PART, "o_orderkey", "o_totalprice"), partition.PART)
 
 
 # tables
 
 def engine(spark: SparkSession) -> Engine:
     """An engine whose tables lie in a fresh folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return Engine(spark, f"{base.rstrip('/')}/tables-{datetime.datetime.now().timestamp():.6f}")
 
 
@@ -455,6 +460,136 @@ def table_list(spark, d):
     return loaded(spark, d).sql("SELECT table_name, estimated_size, column_count FROM dh_tables()")
 
 
+@query("engine_lists", "select o_orderkey, len(l) as n, l[1] as first, l[-1] as back, l[9] as beyond, l[2:3]::varchar as middle, list_contains(l, 2) as two, len(st) as letters from (select o_orderkey, nullif(o_orderstatus, 'P') as st, [o_orderkey % 4, 2, null, o_custkey] as l from orders) where len(l) > 2 and not list_contains(l, 3)")
+def engine_lists(spark, d):
+    e = loaded(spark, d)
+    e.sql("CREATE TABLE dh.lists (k BIGINT, st VARCHAR, l BIGINT[])")
+    e.sql("INSERT INTO dh.lists SELECT o_orderkey, st, [o_orderkey % 4, 2, NULL, o_custkey] FROM dh.o")
+    return e.sql("SELECT k AS o_orderkey, cast(len(l) AS BIGINT) AS n, l[1] AS first, l[-1] AS back, l[9] AS beyond, concat('[', array_join(l[2:3], ', ', 'NULL'), ']') AS middle, list_contains(l, 2) AS two, cast(len(st) AS BIGINT) AS letters FROM dh.lists WHERE len(l) > 2 AND NOT list_contains(l, 3)")
+
+
+@query("engine_unnest", "select o_orderkey, unnest([o_orderkey, o_custkey]) as x from orders where o_orderkey in (select max(o_orderkey) from orders group by o_custkey)")
+def engine_unnest(spark, d):
+    return loaded(spark, d).sql("SELECT o_orderkey, unnest([o_orderkey, o_custkey]) AS x FROM dh.o WHERE o_orderkey IN (SELECT MAX(o_orderkey) FROM dh.o GROUP BY o_custkey)")
+
+
+@query("delete_subquery", "select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as st, o_totalprice from orders where o_custkey not in (select o_custkey from orders group by 1 having sum(o_totalprice) > 2000000) and o_totalprice <= (select avg(o_totalprice) * 2 from orders)")
+def delete_subquery(spark, d):
+    e = loaded(spark, d)
+    e.sql("CREATE TABLE dh.big AS SELECT o_custkey FROM dh.o GROUP BY o_custkey HAVING SUM(o_totalprice) > 2000000")
+    e.sql("DELETE FROM dh.o WHERE o_custkey IN (SELECT o_custkey FROM dh.big) OR o_totalprice > (SELECT AVG(o_totalprice) * 2 FROM dh.o)")
+    return e.sql("SELECT * FROM dh.o")
+
+
+@query("update_subquery", "select o_orderkey, o_custkey, case when exists (select 1 from customer where c_custkey = o_custkey and c_acctbal < 0) then 'N' else nullif(o_orderstatus, 'P') end as st, case when exists (select 1 from customer where c_custkey = o_custkey and c_acctbal < 0) then (select max(o_totalprice) from orders) else o_totalprice end as o_totalprice from orders")
+def update_subquery(spark, d):
+    e = loaded(spark, d)
+    e.sql("CREATE TABLE dh.c (c_custkey BIGINT, c_acctbal DOUBLE)")
+    e.store.insert("c", table(spark, d, "customer").select("c_custkey", "c_acctbal"))
+    e.sql("UPDATE dh.o SET st = 'N', o_totalprice = (SELECT MAX(o_totalprice) FROM dh.o) WHERE EXISTS (SELECT 1 FROM dh.c WHERE c.c_custkey = o.o_custkey AND c_acctbal < 0)")
+    return e.sql("SELECT * FROM dh.o")
+
+
+@query("views", "select o_custkey, n, total from (select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_totalprice > 100000 group by o_custkey) where n > 1")
+def views(spark, d):
+    e = loaded(spark, d)
+    e.sql("CREATE VIEW dh.dear AS SELECT * FROM dh.o WHERE o_totalprice > 150000")
+    e.sql("CREATE OR REPLACE VIEW dh.dear AS SELECT * FROM dh.o WHERE o_totalprice > 100000")
+    e.sql("CREATE TEMP VIEW totals AS SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM dear GROUP BY o_custkey")
+    return e.sql("SELECT * FROM totals WHERE n > 1")
+
+
+@query("schemas", "select o_orderkey, c_custkey from orders join customer on o_custkey = c_custkey where o_totalprice > 300000")
+def schemas(spark, d):
+    e = loaded(spark, d)
+    e.sql("CREATE SCHEMA dh.crm")
+    e.sql("CREATE TABLE dh.crm.o (c_custkey BIGINT)")
+    e.store.insert("crm.o", table(spark, d, "customer").select("c_custkey"))
+    return e.sql("SELECT o_orderkey, c_custkey FROM dh.o JOIN dh.crm.o AS c ON o_custkey = c_custkey WHERE o_totalprice > 300000")
+
+
+by_text("set_intersect_all", "select o_custkey from orders where o_totalprice > 100000 intersect all select o_custkey from orders where o_orderstatus <> 'F'")
+by_text("set_except_all", "select o_custkey from orders except all select o_custkey from orders where o_orderstatus = 'F'")
+by_text("agg_lists", "select o_custkey, array_join(array_sort(collect_list(o_orderkey)), ',') as orders, array_join(array_sort(collect_set(o_orderstatus)), '') as states from orders group by o_custkey", "select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as orders, array_to_string(list_sort(list(distinct o_orderstatus)), '') as states from orders group by o_custkey")
+
+
+@query("agg_approximate", "select event_type, true as near_count, true as near_median from events group by event_type")
+def agg_approximate(spark, d):
+    e = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"), F.approx_percentile("value", 0.5, 10_000).alias("p"), F.percentile("value", 0.5).alias("q"), F.stddev("value").alias("s"))
+    return e.select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.08 * F.col("n") + 1).alias("near_count"), (F.abs(F.col("p") - F.col("q")) <= 0.05 * F.col("s") + 1e-9).alias("near_median"))
+
+
+@query("insert_arrow", "select c_custkey, c_name from customer")
+def insert_arrow(spark, d):
+    e = engine(spark)
+    e.sql("CREATE TABLE dh.c (c_custkey BIGINT, c_name VARCHAR)")
+    e.insert_arrow("c", sources.to_arrow(table(spark, d, "customer").select("c_custkey", "c_name")))
+    return e.sql("SELECT * FROM dh.c")
+
+
+@query("alter_constraints", "select * from (values (1, 'a', true), (2, 'x', true), (3, 'x', false)) v(id, s, nullable)")
+def alter_constraints(spark, d):
+    e = engine(spark)
+    e.sql("CREATE TABLE dh.t (id INTEGER, s VARCHAR)")
+    e.sql("INSERT INTO dh.t VALUES (1, 'a')")
+    e.sql("ALTER TABLE dh.t ALTER COLUMN s SET DEFAULT 'x'")
+    e.sql("INSERT INTO dh.t (id) VALUES (2)")
+    e.sql("ALTER TABLE dh.t ALTER COLUMN s SET NOT NULL")
+    refused = False
+    try:
+        e.sql("INSERT INTO dh.t VALUES (9, NULL)")
+    except Exception as error:
+        refused = "NOT NULL constraint failed" in str(error)
+    e.sql("INSERT INTO dh.t (id) VALUES (3)")
+    return e.sql("SELECT * FROM dh.t").withColumn("nullable", (F.col("id") < 3) | F.lit(not refused))
+
+
+@query("control_functions", "select * from (values ('attached', 'h:99'), ('cleared', '0'), ('extension', 'true'), ('stopped', '0'), ('workers', '2')) v(what, result)")
+def control_functions(spark, d):
+    e = engine(spark)
+    out = []
+    e.sql("ATTACH 'dh' (TYPE any, server_host 'h', server_port 99)")
+    out.append(("attached", f"{e.server['host']}:{e.server['port']}"))
+    e.sql("SELECT start_local_server(8815)")
+    e.sql("SELECT start_standalone_worker(9101)")
+    e.sql("SELECT register_worker('w', 'grpc://a:1')")
+    out.append(("workers", str(e.sql("SELECT get_worker_count()").first()[0])))
+    out.append(("extension", str(e.sql("SELECT load_extension('json')").first()[0]).lower()))
+    e.sql("CREATE TABLE dh.a (i INTEGER)")
+    e.sql("SELECT clear_query_recorder_stats()")
+    out.append(("cleared", str(e.sql("SELECT * FROM get_query_history()").count())))
+    e.sql("SELECT stop_local_server()")
+    out.append(("stopped", str(e.sql("SELECT get_worker_count()").first()[0])))
+    return spark.createDataFrame(out, "what string, result string")
+
+
+@query("plan_fields", "select * from (values ('group', true, true, false, false, 1::bigint), ('join', false, false, true, false, 2), ('window', false, false, false, true, 2)) v(what, has_aggregation, has_group_by, has_join, has_window, pipelines)")
+def plan_fields(spark, d):
+    for t in ("nation", "region"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    texts = {"group": "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "join": "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey", "window": "SELECT rank() OVER (ORDER BY n_name) AS r FROM nation"}
+    rows = [(what, (a := analyze(spark.sql(t))).has_aggregation, a.has_group_by, a.has_join, a.has_window, a.pipelines) for what, t in texts.items()]
+    return spark.createDataFrame(rows, "what string, has_aggregation boolean, has_group_by boolean, has_join boolean, has_window boolean, pipelines long")
+
+
+@query("partition_facts", "select * from (values (50::bigint, 13::bigint, false, 1::bigint, 1::bigint, 'NONE'), (200000, 50000, true, 2, 1, 'NATURAL'), (500000, 125000, true, 5, 2, 'ROW_GROUP_ALIGNED'), (5000000, 1250000, true, 41, 20, 'ROW_GROUP_ALIGNED')) v(n_rows, each, worthwhile, row_groups, threads, strategy)")
+def partition_facts(spark, d):
+    rows = [(n, (i := partition_info(n, 4))["rows_per_partition"], i["worthwhile"], i["row_groups"], parallelism(n), deal(n, 4, parallelism(n)).strategy) for n in (50, 200_000, 500_000, 5_000_000)]
+    return spark.createDataFrame(rows, "n_rows long, each long, worthwhile boolean, row_groups long, threads long, strategy string")
+
+
+@query("file_formats", "select r_regionkey, r_name, 'csv' as kind from region union all select r_regionkey, r_name, 'json' from region union all select r_regionkey, r_name, 'orc' from region union all select r_regionkey, r_name, 'parquet' from region")
+def file_formats(spark, d):
+    base = engine(spark).store.root
+    region = table(spark, d, "region").select("r_regionkey", "r_name")
+    out = None
+    for kind in ("csv", "json", "orc", "parquet"):
+        region.write.format(kind).option("header", True).save(f"{base}/{kind}")
+        read = spark.read.format(kind).schema("r_regionkey long, r_name string").option("header", True).load(f"{base}/{kind}").withColumn("kind", F.lit(kind))
+        out = read if out is None else out.union(read)
+    return out
+
+
 @query("exec_stats", "select * from (values ('DELEGATED', 'GROUP_BY_MERGE', 4::bigint, 1::bigint), ('LOCAL', 'CONCATENATE', 4, 1), ('DELEGATED', 'AGGREGATE_MERGE', 4, 1)) v(execution_mode, merge_strategy, num_workers_used, num_tasks_generated)")
 def exec_stats(spark, d):
     e = engine(spark)

@@ -17,13 +17,3 @@ def windowed(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> D
     events = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = events.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
-
-
-def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    events = events.withWatermark("ts", late) if events.isStreaming else events
-    grouped = events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "user_id", "n")
