@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -40,18 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets the driver drop the files of shuffles that nothing refers to any more; it finds them when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: With this set, the files of a query's shuffles go when the query ends; else they stay until the driver happens to collect its garbage.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there, on storage that outlives executors."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    release_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, path or shared_dir(df.sparkSession)
+    before = spark.conf.get(SHUFFLES_END, "false")
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_END, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
@@ -111,9 +112,9 @@ class Memo:
     def __init__(self, limit: int):
         self.limit, self.now, self.old = limit, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of the keys that must be worked out and put into ``now``; all others are in there after this."""
-        if len(self.now) > self.limit:
+    def missing(self, keys: set, turn: bool = True) -> list:
+        """Those of the keys that must be worked out and put into ``now``; all others are in there after this. turn: whether the generations may change."""
+        if turn and len(self.now) > self.limit:
             self.now, self.old = {}, self.now
         new = keys.difference(self.now)
         again = {k: self.old[k] for k in new.intersection(self.old)} if self.old else {}

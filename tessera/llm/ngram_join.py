@@ -6,8 +6,8 @@
    that a third of all documents hold is sent once per block.
 3. Two sets that are similar enough share a shingle in the first part (the prefix) of that order. A shingle of one class alone can't be shared, so a class
    whose whole prefix is such shingles is done; of the others only the shared part of the prefix is posted by shingle.
-4. Of each posting list every member is paired with one pivot of the list, the same for all lists it heads. Pairs pass the length and positional filters;
-   a class proposes the PROPOSALS pivots that it shares most shingles with. Each pair is verified once, behind the suffix filter.
+4. Of each posting list every member is paired with one pivot of the list: the member with the smallest share of shingles of its own, as the text that others
+   were copied from has. Pairs pass the length and positional filters; a class proposes the PROPOSALS pivots that it shares most shingles with. Each pair is verified once, behind the suffix filter.
    That links most of a large group of near copies with as many pairs as the group has members.
 5. All other pairs whose members are then in different components are joined on their prefix shingles, list by list, with the same filters,
    and those not verified before are verified. A pair within one component can't change the components, so they are exact.
@@ -182,8 +182,9 @@ def rarity(rows: DataFrame, text_col: str, words: int, parts: int) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, codes: DataFrame, text_col: str, words: int, least: tuple[int, int], parts: int) -> DataFrame:
-    """cid, n, what others may share of the prefix (token, pos in the order, code) and the whole set, of classes that may have a partner."""
-    schema = "cid long, n int, prefix array<struct<token:long,pos:int,code:int>>, shingles binary"
+    """cid, n, alone (shingles that no other class holds), what others may share of the prefix (token, pos in the order, code) and the whole set, of classes
+    that may have a partner."""
+    schema = "cid long, n int, alone int, prefix array<struct<token:long,pos:int,code:int>>, shingles binary"
     kind = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("code", pa.int32())]))
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -206,9 +207,9 @@ def prefixes(rows: DataFrame, codes: DataFrame, text_col: str, words: int, least
                         shared = np.flatnonzero(found)
                         first = shared[np.lexsort((tokens[shared], found[shared]))][: length - alone]
                         post = [{"token": t, "pos": alone + k, "code": c} for k, (t, c) in enumerate(zip(tokens[first].view(np.int64).tolist(), found[first].tolist(), strict=True))]
-                        out.append((cid, len(tokens), post, tokens.tobytes()))
-        cids, n, posts, sets = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"cid": pa.array(cids, pa.int64()), "n": pa.array(n, pa.int32()), "prefix": pa.array(posts, kind), "shingles": pa.array(sets, pa.binary())})
+                        out.append((cid, len(tokens), alone, post, tokens.tobytes()))
+        cids, n, alone, posts, sets = zip(*out, strict=True) if out else ((), (), (), (), ())
+        return pa.table({"cid": pa.array(cids, pa.int64()), "n": pa.array(n, pa.int32()), "alone": pa.array(alone, pa.int32()), "prefix": pa.array(posts, kind), "shingles": pa.array(sets, pa.binary())})
 
     return rows.select("block", "cid", text_col).groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(run, schema)
 
@@ -223,8 +224,12 @@ def dealt(post: Column | str = "cid", code: str = "code") -> Column:
 
 
 def pivot_pairs(postings: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b): each class with the pivots, PROPOSALS at most, that it shares most posted shingles with."""
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("code").alias("code"), F.min(F.struct(F.hash("cid").alias("order"), "cid", "n", "pos")).alias("pivot")).where("many > 1")
+    """Pairs (a, b): each class with the pivots, PROPOSALS at most, that it shares most posted shingles with.
+
+    A list's pivot is the member of which the least part is its own: what copies were made from rather than one of the copies.
+    """
+    order = F.struct((F.col("alone") / F.col("n")).alias("own"), F.hash("cid").alias("order"), "cid", "n", "pos")
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("code").alias("code"), F.min(order).alias("pivot")).where("many > 1")
     heads = lists.select("token", "pivot", F.explode(F.sequence(F.lit(0), copies("code") - 1)).alias("salt"))
     met = postings.withColumn("salt", dealt()).withColumn("own", F.struct("cid", "n", "pos")).join(heads, ["token", "salt"])
     met = met.where((F.col("own.cid") != F.col("pivot.cid")) & filters("own", "pivot", least))
@@ -268,7 +273,7 @@ def class_components(rows: DataFrame, scratch: Scratch, text_col: str, words: in
     codes = scratch.write(rarity(rows, text_col, words, parts))
     shared = scratch.write(prefixes(rows, codes, text_col, words, least, parts))
     scratch.drop(codes)
-    postings = shared.select("cid", "n", F.explode("prefix").alias("x")).select("cid", "n", "x.token", "x.pos", "x.code")
+    postings = shared.select("cid", "n", "alone", F.explode("prefix").alias("x")).select("cid", "n", "alone", "x.token", "x.pos", "x.code")
     sets = shared.select("cid", "shingles")
     tested = scratch.write(pivot_pairs(postings, least))
     links = scratch.write(verified(tested, sets, least))
