@@ -7,10 +7,11 @@ matter, so suffixes are sorted to that depth and no further:
    Neighbouring windows with one anchor are a segment, so a document is a row of segments, about one per 16 bytes. Segments meet in buckets
    by anchor; batches of documents send (anchor, content hash, smallest and largest id) once per distinct segment.
 2. A bucket that holds one document is done: nothing in it repeats. A bucket of several documents but one content is done, too: all its
-   windows repeat, first in the smallest id. All others are mixed, and only their distinct segments' bytes are sent on.
+   windows repeat, first in the smallest id. Contents are told apart by 64 bits beside the anchor's 32 bits and part; among the few contents of one anchor
+   two that differ look the same with a probability of about 2**-64 a pair. All others are mixed, and only their distinct segments' bytes are sent on.
 3. Mixed buckets are refined: positions are put into buckets by 8 bytes, and these are refined by sorting on the bucket pointers at later offsets
-   (8, then 16, then LENGTH - 32), where each round uses the pointers of the round before and passes over buckets of one. Windows with one pointer
-   are equal. Mixed buckets with very many segments are dealt out by window before that, so no task gets all of one.
+   (8, then 16, then LENGTH - 32). Buckets of one are passed over, and new pointers are used at once for the buckets that a round refines later.
+   Neighbours' bytes are compared at last. Mixed buckets with very many segments are dealt out by window before that, so no task gets all of one.
 4. Batches mark the windows that start in a smaller id elsewhere, and cut the bytes they cover.
 
 Batches, and the parts that anchors are dealt to, are as many as Spark's shuffle partitions ask for, so a task's share does not grow with the corpus.
@@ -33,10 +34,16 @@ LENGTH = 50
 GRAM = 20
 #: Distinct segments of one anchor, counted per batch, from which a mixed bucket is dealt out by window.
 MANY = 512
-#: Bytes of documents that segments are worked out for at once; a longer document is worked out alone.
+#: Bytes of documents that segments are worked out for at once; a longer document is worked on in parts of this size.
 CHUNK = 1 << 20
 #: Bytes of mixed buckets that are refined at once; a larger bucket is refined alone.
 BLOCK = 1 << 20
+#: Parts that a round refines one after the other.
+PARTS = 4
+#: The first bytes of a big-endian number, by how many.
+HEAD = np.array([(1 << 64) - (1 << 8 * (8 - n)) for n in range(9)], U)
+#: Low bits that hold a place among CHUNK bytes.
+PLACE = U((1 << 24) - 1)
 NONE, SAME, MIXED, DEALT = 0, 1, 2, 3
 LOWEST = np.iinfo(np.int64).min
 
@@ -46,20 +53,17 @@ BASE = 0x9E3779B97F4A7C15
 
 
 class Powers:
-    """Powers of BASE and of its inverse, modulo 2**64. Those for CHUNK bytes are kept; more are made anew."""
+    """Powers of BASE and of its inverse, modulo 2**64, for CHUNK bytes and a window."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        up, down = self.up, self.down
-        if n > len(up):
+        if n > len(self.up):
             size = 1 << (n - 1).bit_length()
             with np.errstate(over="ignore"):
-                up, down = (self.powers(base, size) for base in (BASE, pow(BASE, -1, 1 << 64)))
-            if size <= 2 * CHUNK:
-                self.up, self.down = up, down
-        return up[:n], down[:n]
+                self.up, self.down = (self.powers(base, size) for base in (BASE, pow(BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
 
     @staticmethod
     def powers(base: int, size: int) -> np.ndarray:
@@ -79,26 +83,32 @@ class Texts:
         self.ids, self.texts = ids, texts
         self.at = np.cumsum([0, *map(len, texts)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        found, first = [], 0
-        while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(self.at, self.at[first] + CHUNK, "right")) - 1)
-            found.append(self.segments(first, last))
-            first = last
+        found = [self.segments(*piece) for piece in self.pieces()]
         none = [np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)]
         anchor, self.content, self.start, self.n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
         self.key = part_key(anchor, parts)
         self.doc = np.searchsorted(self.at, self.start, "right") - 1
         self.doc_id = ids[self.doc] if len(ids) else np.empty(0, np.int64)
 
-    def segments(self, first: int, last: int) -> list[np.ndarray]:
-        base = int(self.at[first])
-        data = self.data[base : self.at[last]]
-        if len(data) < LENGTH:
-            return [np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)]
-        left = np.repeat(self.at[first + 1 : last + 1] - base, np.diff(self.at[first : last + 1])) - np.arange(len(data))
-        windows = np.flatnonzero(left >= LENGTH)
-        if not len(windows):
-            return [np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)]
+    def pieces(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First and last byte, and the windows' places from there, of about CHUNK bytes: several documents, or part of a longer one."""
+        first, last = 0, 0
+        while first < len(self.texts):
+            last = max(first + 1, int(np.searchsorted(self.at, self.at[first] + CHUNK, "right")) - 1)
+            low, high = int(self.at[first]), int(self.at[last])
+            if last == first + 1:
+                for a in range(low, high - LENGTH + 1, CHUNK):
+                    b = min(a + CHUNK + LENGTH - 1, high)
+                    yield a, b, np.arange(b - a - LENGTH + 1)
+            else:
+                left = np.repeat(self.at[first + 1 : last + 1] - low, np.diff(self.at[first : last + 1])) - np.arange(high - low)
+                windows = np.flatnonzero(left >= LENGTH)
+                if len(windows):
+                    yield low, high, windows
+            first = last
+
+    def segments(self, low: int, high: int, windows: np.ndarray) -> list[np.ndarray]:
+        data = self.data[low:high]
         with np.errstate(over="ignore"):
             up, down = POWERS.upto(len(data) + 1)
             sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * up[: len(data)], dtype=U)])
@@ -109,7 +119,7 @@ class Texts:
             n = np.diff(np.append(new, len(windows)))
             end = start + n + LENGTH - 1
             content = mixed(mixed((sums[end] - sums[start]) * down[start] + n.astype(U)) ^ grams[place[new]])
-        return [grams[place[new]], content, start + base, n]
+        return [grams[place[new]], content, start + low, n]
 
     def bytes_at(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.data[ragged(start, length)]
@@ -130,14 +140,13 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values the place of its least, the leftmost of equals."""
-    place, span = np.arange(len(values)), 1
+    """For each window of ``width`` values the place of its least, the leftmost of equals. Values count with their upper bits; the lower ones hold the place."""
+    least, span = values & ~PLACE | np.arange(len(values), dtype=U), 1
     while span < width:
         step = min(span, width - span)
-        a, b = place[:-step], place[step:]
-        place = np.where(values[b] < values[a], b, a)
+        least = np.minimum(least[:-step], least[step:])
         span += step
-    return place
+    return (least & PLACE).astype(np.int64)
 
 
 def part_key(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -311,40 +320,62 @@ def send_mixed(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
 
 
 def bucket_pointers(data: np.ndarray, left: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Equal pointers for places where equal strings of ``length`` bytes (8 at least) start; left: bytes from a place to the end of its piece."""
+    """Equal pointers for places where equal strings of ``length`` bytes (8 at least) start; left: bytes from a place to the end of its piece.
+
+    A bucket's pointer is its first place in the sorted order, where a piece's end comes before all bytes. A round refines the buckets part by part, and new
+    pointers are used at once for the parts that follow, so those may be refined further than the round asks for. The last round refines windows alone and
+    takes the pointers as they stand. The order is that of the strings at any depth, so equal windows end up side by side,
+    and comparing neighbours' bytes tells where one window ends.
+    """
     gram = np.zeros(len(data), U)
-    for k in range(8):
+    for k in range(min(8, len(data))):
         gram[: len(data) - k] |= data[k:].astype(U) << U(8 * (7 - k))
-    here = np.flatnonzero(left >= 8)
-    pointer = np.zeros(len(data), np.int64)
-    alone = np.ones(len(data), bool)
-
-    def settle(order: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First place and size of each run of equal keys; places that are alone need no more sorting."""
-        first = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(order) else np.empty(0, np.int64)
-        size = np.diff(np.append(first, len(order)))
-        alone[order] = np.repeat(size == 1, size)
-        return first, size
-
-    order = here[np.argsort(gram[here])]
-    first, size = settle(order, gram[order])
-    pointer[order] = np.repeat(first, size)
-    depth = 8
-    while depth < length:
-        step = min(depth, length - depth)
-        here = np.flatnonzero((left >= depth + step) & ~alone)
-        if not len(here):
-            break
-        key = pointer[here] * len(data) + pointer[here + step]
+    gram &= HEAD[np.minimum(left, 8)]
+    order = np.argsort(gram)
+    first = np.flatnonzero(np.append(True, gram[order[1:]] != gram[order[:-1]]))[: len(order)]
+    size = np.diff(np.append(first, len(order)))
+    pointer, alone = np.empty(len(data), np.int64), np.empty(len(data), bool)
+    pointer[order], alone[order] = np.repeat(first, size), np.repeat(size == 1, size)
+
+    def refined(here: np.ndarray, step: int) -> None:
+        """Sorts the places of whole buckets by the pointers ``step`` bytes on; parts of a bucket get pointers inside it."""
+        on = np.where(left[here] > step, pointer[np.minimum(here + step, len(data) - 1)] + 1, 0)
+        key = pointer[here] * (len(data) + 1) + on
         sort = np.argsort(key)
         order, key = here[sort], key[sort]
         old = pointer[order]
         bucket = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
-        first, size = settle(order, key)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(order)))
+        alone[order] = np.repeat(size == 1, size)
         start = np.repeat(bucket, np.diff(np.append(bucket, len(order))))[first]
-        # a bucket's pointer is its first place, so its parts get places inside it
         pointer[order] = old + np.repeat(first - start, size)
+
+    depth = 8
+    while depth < length:
+        step = min(depth, length - depth)
+        last = depth + step >= length
+        here = np.flatnonzero(~alone & (left >= length)) if last else np.flatnonzero(~alone)
+        if len(here) and last:
+            refined(here, step)
+        elif len(here):
+            at = pointer[here]
+            cuts = np.quantile(at, np.arange(1, PARTS) / PARTS)
+            part = np.searchsorted(cuts, at)
+            for k in reversed(range(PARTS)):
+                if len(own := here[part == k]):
+                    refined(own, step)
         depth += step
+    windows = np.flatnonzero(left >= length)
+    order = windows[np.argsort(pointer[windows], kind="stable")]
+    if len(order):
+        new = np.append(True, pointer[order[1:]] != pointer[order[:-1]])
+        close = np.flatnonzero(new[1:]) + 1  # one pointer: equal at any rate
+        same = np.ones(len(close), bool)
+        for k in [*range(0, length - 7, 8), length - 8]:
+            same &= gram[order[close] + k] == gram[order[close - 1] + k]
+        new[close[same]] = False
+        pointer[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     return pointer
 
 
