@@ -40,18 +40,21 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``df`` that stay, one per text: repeated rows of the id that stays collapse as well."""
+    """The rows of ``df`` that stay, one per text: repeated rows of the id that stays collapse as well, to any one of them.
+
+    Null and empty texts are equal; null ids stay only if the text has no other row. Whole texts are compared, however long. All columns keep their names and
+    values, also those called as the working ones; an empty table gives no rows.
+    """
     pick = F.min_by if keep == "smallest" else F.max_by
-    text = normalised(text_col)
+    names = {c: f"c{i}_" for i, c in enumerate(df.columns)}
+    own = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    i, t = names[id_col], names[text_col]
     # null ids last: they stay only if the text has no other row
-    order = F.struct(F.col(id_col).isNull(), id_col) if keep == "smallest" else F.struct(F.col(id_col).isNotNull(), id_col)
-    rest = [c for c in df.columns if c != text_col]
-    row = F.struct(*rest, F.col(text_col).isNull().alias("no_text_")) if "no_text_" not in rest else None
-    if row is None:
-        raise ValueError("a column is called no_text_")
-    groups = df.groupBy(F.unhex(F.md5(text)).alias("hash_"), text.alias("text_")).agg(pick(row, order).alias("row_"))
-    kept = {c: F.col("row_")[c] for c in rest} | {text_col: F.when(~F.col("row_")["no_text_"], F.col("text_").cast("string"))}
-    return groups.select(*(kept[c].alias(c) for c in df.columns))
+    order = F.struct(F.col(i).isNull(), i) if keep == "smallest" else F.struct(F.col(i).isNotNull(), i)
+    row = F.struct(*(n for n in names.values() if n != t), F.col(t).isNull().alias("no_text"))
+    groups = own.groupBy(F.unhex(F.md5(normalised(t))).alias("hash"), normalised(t).alias("bytes")).agg(pick(row, order).alias("row"))
+    text = F.when(~F.col("row.no_text"), F.col("bytes").cast("string"))
+    return groups.select(*((text if n == t else F.col(f"row.{n}")).alias(c) for c, n in names.items()))
 
 
 ORACLE = """

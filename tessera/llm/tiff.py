@@ -253,7 +253,11 @@ PAGE_SCHEMA = "page int, n_pages int, width int, height int, samples int, bits i
 
 
 def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: its id, n_bytes of the text's UTF-8, and media, a TIFF file of it. A null text counts as empty."""
+    """One row per row of ``df``: its id, n_bytes of the text's UTF-8, and media, a TIFF file of it.
+
+    Narrow: no shuffle, one slice of texts in memory. A null or empty text is one row of bytes 255; a null id stays null, repeated rows give equal files,
+    an empty table gives no rows; other columns of ``df`` are not read, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1, 2 << 20):
@@ -291,27 +295,50 @@ def read_pages(df: DataFrame, keys: list[str], media_col: str = "media") -> Data
     return df.select(*keys, media_col).mapInArrow(run, f"{key_schema}, {PAGE_SCHEMA}")
 
 
+DIGEST_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+
+
 def digests(read: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per file from its pages, which follow each other: the payload that was read back, and features of it."""
+    """One row per file from its pages, which follow each other: the payload that was read back, features of it, and error (null).
+
+    A file that could not be read, or whose pages are not all there, has its row too: null payload and features, and what is wrong in error. A null id
+    stays null, repeated files have a row each, an empty table gives no rows.
+    """
+    names = {"long": pa.int64(), "string": pa.string()}
+    fields = [pa.field(n, names[k]) for n, k in (x.split() for x in DIGEST_SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_file: list[dict] = []
+        held: list[dict] = []
+        key = None
+
+        def rows(done: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x["id"] for x in done], key), *(pa.array([x.get(f.name) for x in done], f.type) for f in fields)], ["id", *(f.name for f in fields)])
+
         for batch in batches:
-            done = []
+            key, done = batch.schema.field("id").type, []
             for x in batch.to_pylist():
-                if x["page"] != len(open_file):
-                    raise ValueError(f"page {x['page']} where {len(open_file)} should be: {x['error']}")
-                open_file.append(x)
-                if len(open_file) == x["n_pages"]:
-                    done.append(digest(open_file))
-                    open_file = []
+                if held and x["page"] != len(held):
+                    done.append(bad(held[0], f"{len(held)} of {held[0]['n_pages']} pages"))
+                    held = []
+                if x["page"] != len(held):
+                    done.append(bad(x, x["error"] or f"page {x['page']} without those before it"))
+                    continue
+                held.append(x)
+                if len(held) == x["n_pages"]:
+                    done.append(digest(held))
+                    held = []
             if done:
-                yield pa.RecordBatch.from_pylist(done, schema)
+                yield rows(done)
+        if held:
+            yield rows([bad(held[0], f"{len(held)} of {held[0]['n_pages']} pages")])
 
     kind = read.select(id_col).schema[0].dataType.simpleString()
-    schema = pa.schema([("id", pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
     used = read.select(read[id_col].alias("id"), "n_bytes", "page", "n_pages", "pixels", "compression", "predictor", "tiled", "media_bytes", "media_sha256", "error")
-    return used.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return used.mapInArrow(run, f"id {kind}, {DIGEST_SCHEMA}").withColumnRenamed("id", id_col)
+
+
+def bad(page: dict, why: str) -> dict:
+    return {k: page[k] for k in ("id", "n_bytes", "media_bytes", "media_sha256")} | {"error": why}
 
 
 def digest(file: list[dict]) -> dict:
