@@ -1,11 +1,13 @@
 """Exact dedup, secrets, similarity join, language ID, suffix dedup, TIFF and the pipeline, on small fixtures with odd rows."""
 
 import collections
+import functools
 import hashlib
 import os
 import random
 import re
 import string
+import struct
 import zlib
 
 import pytest
@@ -80,11 +82,34 @@ def test_owners_part_examples_from_live_values(spark):
     assert got.count() == len(rows) and secrets.find_secrets(frame(spark, rows).where("false")).count() == 0
 
 
-def test_owners_alone_decide(spark):
+def test_owners_and_repositories_each_decide(spark):
     value = "AKIA" + "Q" * 16
-    two = [(i, f"key {value}", "ab"[i % 2], "en") for i in range(50)]
     live = lambda rows: {s["live"] for r in secrets.find_secrets(frame(spark, rows)).collect() for s in r["spans"]}
-    assert live(two) == {True} and live([*two, (50, value, "c", "en")]) == {False}
+    of_two = [(i, f"key {value}", "ab"[i % 2], "en") for i in range(secrets.EXAMPLE_REPOSITORIES - 1)]
+    assert live(of_two) == {True}
+    assert live([*of_two, (50, value, "c", "en")]) == {False}  # three owners
+    assert live([*of_two, *of_two, *of_two]) == {True}  # repeated rows are no further repositories
+    one = [(i, f"key {value}", "a", "en") for i in range(secrets.EXAMPLE_REPOSITORIES)]
+    assert live(one) == {False} and live(one[1:]) == {True}  # one owner, many repositories
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"{i:024x}é" for i in range(5000))
+    got = secrets.digests(secrets.find_secrets(frame(spark, [(1, text)]))).first()
+    assert got["n_hex"] == 5000 and got["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+
+
+def test_mask_secrets(spark):
+    rows = [(None, "password = hunter2secretA"), (7, "one token=AAAAAAA11 end"), (7, "long before api_key=ZZZZZZ99 end"), (8, "nothing"), (9, None), (10, ""), (7, "one token=AAAAAAA11 end"), (11, "x " * 100_000 + "secret: 0123456789ab")]
+    docs = frame(spark, rows)
+    got = secrets.mask_secrets(docs, length_col="n_chars")
+    assert got.columns == docs.columns
+    cut = "<SECRET>"
+    want = [(None, cut), (7, f"one {cut} end"), (7, f"long before {cut} end"), (8, "nothing"), (9, None), (10, ""), (7, f"one {cut} end"), (11, "x " * 100_000 + cut)]
+    assert sorted(str((r["doc_id"], r["text"], r["n_chars"])) for r in got.collect()) == sorted(str((i, t, len(t or ""))) for i, t in want)
+    assert secrets.mask_secrets(docs.where("false")).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "source", "n as spans", "n as base_", "n as live", "n as `content_`", "n as id")
+    assert sorted(str(tuple(r)) for r in secrets.mask_secrets(clash).collect()) == sorted(str((i, t, "s", 2, 2, 2, 2, 2)) for i, t in want)
 
 
 def test_mask(spark):
@@ -143,6 +168,48 @@ def test_similar_groups_odd_rows(spark):
     assert {r["component_id"] for r in ngram_join.similar_groups(frame(spark, [(1, None), (2, "")])).collect()} == {1, 2}
 
 
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    rows, seen = similar_rows(3, 200), []
+    test = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: seen.append([tuple(r) for r in pairs.collect()]) or test(pairs, *rest))
+    monkeypatch.setattr(ngram_join, "PROPOSALS", 1)  # so that the second pass has work to do
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(frame(spark, rows)).collect()}
+    assert got == similar_by_brute_force(rows)
+    pairs = [p for part in seen for p in part]
+    assert len(seen) == 2 and pairs and len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+
+
+def test_small_blocks_and_parts_change_nothing(spark, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 500), ("SLICE_BYTES", 200), ("PART_SHINGLES", 100)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = similar_rows(4, 60)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(frame(spark, rows)).collect()}
+    assert got == similar_by_brute_force(rows)
+
+
+def test_shingles_in_blocks(monkeypatch):
+    from tessera.llm import shingles
+
+    texts = [b"", b" ", b"A b", b"word " * 50, b"x" * 300 + b" a b c d e f", b"\tSeventeen_letters_word\n", b"a b c d " + b"y" * 100, b"aBcDeFgH aBcDeFgHi"]
+    whole = [x.tolist() for x in shingles.shingle_sets(texts)]
+    assert [len(x) for x in whole] == [0, 0, 1, 1, 3, 1, 1, 1]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(shingles.blocks, "__defaults__", (size,))
+        assert [x.tolist() for x in shingles.shingle_sets(texts)] == whole
+    assert shingles.shingle_sets([b"abcdefgh"])[0] != shingles.shingle_sets([b"abcdefgh\0"])[0]
+
+
+def test_keep_one(spark):
+    text = "a b c d e f g"
+    other = "quite another text of seven words here"
+    rows = [(5, text), (5, text), (3, text.upper()), (None, text), (None, other), (2, "x"), (4, ""), (4, None), (4, " "), (5, "p q r s t u v w x y z"), (9, "p q r s t u v w x y z")]
+    docs = frame(spark, rows).selectExpr("*", "n as rows", "n as cid", "n as block", "n as k1")
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(str, [(3, text.upper()), (None, other), (2, "x"), (4, ""), (4, None), (4, " "), (5, "p q r s t u v w x y z")]))
+    assert ngram_join.keep_one(docs.where("false")).count() == 0
+
+
 def test_suffix_bound_is_a_bound():
     import numpy as np
 
@@ -192,6 +259,42 @@ def test_grams_equal_plain_counting():
         assert got == want
 
 
+def plain_prediction(text, profiles):
+    """Rank-order profiles in plain Python: the nearest profile, and how near it is."""
+    found = collections.Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        for n in (1, 2, 3):
+            padded = word if n == 1 else f"\1{word}\1"
+            found.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    number = lambda g: functools.reduce(lambda a, c: a << 21 | ord(c), g, 0)
+    own = sorted(found, key=lambda g: (-found[g], number(g)))[: language.PROFILE]
+    if not own or not profiles:
+        return "und", 0.0
+    distance = {}
+    for name, profile in profiles.items():
+        rank = {g: i for i, g in enumerate(profile)}
+        distance[name] = sum(abs(rank[number(g)] - i) if number(g) in rank else language.PROFILE for i, g in enumerate(own))
+    best = min(sorted(distance), key=distance.get)
+    return best, 1 - distance[best] / (language.PROFILE * len(own))
+
+
+def test_predictions_equal_plain_distances(spark):
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()][:150]
+    rows += [(2000, "Ünïcödé 漢字 word", "s", "de"), (2001, "a", "s", "en"), (2002, None, "s", None)]
+    docs = frame(spark, rows)
+    profiles = language.fit(docs.where(~language.held_out()))
+    counted = collections.defaultdict(collections.Counter)
+    for i, t, _, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            codes, n = language.grams(t)
+            counted[lang].update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
+    assert profiles == {lang: sorted(c, key=lambda g: (-c[g], g))[: language.PROFILE] for lang, c in counted.items() if c}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predictions(docs).collect()}
+    for i, t, *_ in rows:
+        want = plain_prediction(t or "", profiles)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-12), t
+
+
 # suffix dedup
 
 
@@ -268,6 +371,91 @@ def test_media_queries(spark):
     assert tiff.write_media(frame(spark, rows).where("false")).count() == 0
 
 
+def plain_tiff(data):
+    """A small reader of 8-bit gray TIFF files for comparison: the samples of all pages."""
+    word = lambda form, at: struct.unpack_from("<" + form, data, at)[0]
+    assert data[:4] == b"II*\0"
+    at, out, layouts = word("I", 4), [], set()
+    while at:
+        tags = {}
+        for e in range(at + 2, at + 2 + 12 * word("H", at), 12):
+            tag, kind, n, value = struct.unpack_from("<HHII", data, e)
+            assert kind == 4
+            tags[tag] = [value] if n == 1 else list(struct.unpack_from(f"<{n}I", data, value))
+        width, height = tags[256][0], tags[257][0]
+        tiled = 324 in tags
+        w, h = (tags[322][0], tags[323][0]) if tiled else (width, tags[278][0])
+        grid = [bytearray(width) for _ in range(height)]
+        for k, (a, n) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+            part = data[a : a + n]
+            compression = tags[259][0]
+            if compression == 8:
+                part = zlib.decompress(part)
+            elif compression == 32773:
+                raw, part, p = part, bytearray(), 0
+                while p < len(raw):
+                    n = raw[p] - 256 * (raw[p] > 127)
+                    part += raw[p + 1 : p + 2 + n] if n >= 0 else raw[p + 1 : p + 2] * (1 - n)
+                    p += n + 2 if n >= 0 else 2
+            elif compression == 5:
+                bits, p, size, part, table, last = int.from_bytes(part, "big"), 8 * len(part), 9, bytearray(), [], None
+                while True:
+                    p -= size
+                    code = bits >> p & (1 << size) - 1
+                    if code == 257:
+                        break
+                    if code == 256:
+                        table, size, last = [bytes([b]) for b in range(256)] + [b"", b""], 9, None
+                        continue
+                    entry = table[code] if code < len(table) else last + last[:1]
+                    if last is not None:
+                        table.append(last + entry[:1])
+                    part += entry
+                    last = entry
+                    size = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+            across = -(-width // w)
+            top, left = k // across * h, k % across * w
+            for y in range(min(h, height - top)):
+                row = bytearray(part[y * w : (y + 1) * w])
+                if tags[317][0] == 2:
+                    for x in range(1, w):
+                        row[x] = (row[x] + row[x - 1]) % 256
+                grid[top + y][left : left + w] = row[: width - left]
+        layouts.add(f"{tags[259][0]}{'p' if tags[317][0] == 2 else ''}{'t' if tiled else ''}")
+        out += grid
+        at = word("I", at + 2 + 12 * word("H", at))
+    return b"".join(out), layouts
+
+
+def test_media_against_a_plain_reader(spark):
+    rng = random.Random(5)
+    texts = ["", "hello", "é" * 60_000, "ab" * 150_000, *("".join(rng.choice("abc déf\n") for _ in range(rng.randrange(30_000))) for _ in range(12))]
+    docs = frame(spark, list(enumerate(texts)))
+    media = {r["doc_id"]: bytes(r["media"]) for r in tiff.write_media(docs).collect()}
+    got = {r["doc_id"]: r for r in tiff.digests(tiff.read_pages(tiff.write_media(docs), ["doc_id", "n_bytes"])).collect()}
+    for i, t in enumerate(texts):
+        payload = t.encode() + b"\xff" * (576 if not t else -len(t.encode()) % 576)
+        pixels, layouts = plain_tiff(media[i])
+        assert pixels == payload and got[i]["error"] is None
+        assert (got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        feature = dict(x.split("=") for x in got[i]["feature"].split(";"))
+        mean = sum(payload) / len(payload)
+        variance = sum((b - mean) ** 2 for b in payload) / len(payload)
+        assert int(feature["pages"]) == -(-len(payload) // (576 * 64)) and set(feature["layouts"].split("+")) == layouts
+        assert float(feature["mean"]) == pytest.approx(mean, abs=1e-4) and float(feature["var"]) == pytest.approx(variance, abs=1e-3)
+        assert feature["hist"] == ",".join(str(sum(payload.count(b) for b in range(k, k + 32))) for k in range(0, 256, 32))
+
+
+def test_digests_of_bad_files(spark):
+    good = tiff.write(b"abc" * 50_000)
+    df = spark.createDataFrame([("a", 1, b"GIF"), ("b", 2, good), (None, 3, None), ("c", 4, good)], "k string, n_bytes long, media binary").coalesce(1)
+    pages = tiff.read_pages(df, ["k", "n_bytes"]).where("not (k = 'b' and page = 2)")
+    got = {r["k"]: r for r in tiff.digests(pages, "k").collect()}
+    assert set(got) == {"a", "b", "c", None} and got["c"]["error"] is None and got["c"]["payload_bytes"] == len(tiff.padded(b"abc" * 50_000))
+    assert all(got[k]["error"] and got[k]["payload_sha256"] is None for k in ("a", "b", None))
+
+
 def test_bad_files_give_a_row_that_says_so(spark):
     good = tiff.write(b"abc")
     loop = good[:-4] + good[4:8]
