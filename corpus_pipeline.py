@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language, ngram_join, packing, secrets
-from tessera.llm.common import durable, table
+from tessera.llm.common import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and null ones; profiles come from the rows that are not held out. Without profiles all others stay as well."""
+    """Drops documents without a letter, and null ones; profiles come from the rows that are not held out. Without profiles all others stay as well.
+
+    Repeated rows, null ids and rows that share an id are judged each by its own text.
+    """
     profiles = language.fit(docs.where(~F.coalesce(language.held_out(), F.lit(False))))
     columns = [c for c in COLUMNS if c != "text"] + ["text"]
     if not profiles:
@@ -28,28 +31,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each text, the one with the largest id."""
+    """Keeps one row of each text, the one with the largest id (nulls last); null counts as empty, repeated rows collapse."""
     return exact_dedup.drop_copies(docs.select(*COLUMNS), keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of similar documents the one with the smallest id."""
-    others = ngram_join.similar_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each group of similar documents one row, the one with the smallest id (nulls last, ties by content); texts without a word all stay."""
+    return ngram_join.keep_one(docs.select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks credentials that look live (few owners hold them); keeps every document. n_chars follows the text."""
-    found = secrets.find_secrets(docs).select("doc_id", F.filter("spans", lambda x: x["live"]).alias("live")).where("size(live) > 0")
-    spans = found.groupBy("doc_id").agg(F.first("live").alias("live"))
-    joined = docs.select(*COLUMNS).join(spans, "doc_id", "left")
-    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(secrets.mask(F.col("text"), F.col("live")))
-    n_chars = F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    """Masks credentials that look live (few owners and repositories hold them); keeps every row, each masked by its own text. n_chars follows the text."""
+    return secrets.mask_secrets(docs.select(*COLUMNS), length_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts documents into sequences of power-of-two lengths."""
+    """Cuts documents into sequences of power-of-two lengths; an empty or null text is the end id alone, a null id stays null."""
     return packing.digests(packing.pack(docs))
 
 
@@ -66,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages' last result over the whole table documents. An empty table gives no rows; columns beyond those of documents are not read."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+        docs = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+        before = docs
     return docs
