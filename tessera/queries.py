@@ -143,25 +143,13 @@ LIST = "[" + ", ".join(f"'{x}'" for x in EVENT_TYPES) + "]"
 SEGMENT_LIST = "[" + ", ".join(f"'{x}'" for x in SEGMENTS) + "]"
 
 
-@query("enum_min_max", f"select user_id % 10 as g, min_by(event_type, list_position({LIST}, event_type)) as lo, max_by(event_type, list_position({LIST}, event_type)) as hi from events where event_type <> 'view' or user_id % 10 < 5 group by 1")
+@query("enum_min_max", f"select user_id, cast(ts as date) as day, min_by(event_type, list_position({LIST}, event_type)) as lo, max_by(event_type, list_position({LIST}, event_type)) as hi from events group by all")
 def enum_min_max(spark, d):
-    e = table(spark, d, "events").where("event_type <> 'view' or user_id % 10 < 5").withColumn("g", F.col("user_id") % 10)
-    return e.groupBy("g").agg(fn.enum_min("event_type", EVENT_TYPES).alias("lo"), fn.enum_max("event_type", EVENT_TYPES).alias("hi"))
-
-
-@query("enum_min_max_all", f"select user_id, cast(ts as date) as day, min_by(event_type, list_position({LIST}, event_type)) as lo, max_by(event_type, list_position({LIST}, event_type)) as hi from events group by all")
-def enum_min_max_all(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(fn.enum_min("event_type", EVENT_TYPES).alias("lo"), fn.enum_max("event_type", EVENT_TYPES).alias("hi"))
 
 
-@query("enum_order", f"select c_custkey, c_mktsegment from customer order by list_position({SEGMENT_LIST}, nullif(c_mktsegment, 'HOUSEHOLD')) nulls last, c_custkey limit 400")
+@query("enum_order", f"select c_custkey, c_mktsegment, row_number() over (order by list_position({SEGMENT_LIST}, nullif(c_mktsegment, 'HOUSEHOLD')) nulls last, c_custkey) as place from customer")
 def enum_order(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment").withColumn("e", F.nullif("c_mktsegment", F.lit("HOUSEHOLD")))
-    return c.orderBy(fn.enum_order("e", SEGMENTS), "c_custkey").limit(400).drop("e")
-
-
-@query("enum_order_all", f"select c_custkey, c_mktsegment, row_number() over (order by list_position({SEGMENT_LIST}, nullif(c_mktsegment, 'HOUSEHOLD')) nulls last, c_custkey) as place from customer")
-def enum_order_all(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.nullif("c_mktsegment", F.lit("HOUSEHOLD")).alias("e"), F.floor(F.col("c_custkey") / 4096).alias("g"))
     return partition.in_order(c, {"e": fn.enum_order("e", SEGMENTS), "g": F.asc("g")}, F.asc("c_custkey"), "place").drop("e", "g")
 
@@ -181,14 +169,8 @@ by_text("limit_offset", "select o_orderkey from orders order by o_orderkey limit
 by_text("order_by_ordinal", "select o_custkey, o_orderkey from orders order by 1, 2 limit 30")
 
 
-@query("order_nulls_last", "select o_orderkey, nullif(o_orderstatus, 'F') as st from orders order by st desc nulls last, o_orderkey limit 12000")
+@query("order_nulls_last", "select o_orderkey, nullif(o_orderstatus, 'F') as st, row_number() over (order by nullif(o_orderstatus, 'F') desc nulls last, o_orderkey) as place from orders")
 def order_nulls_last(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("st"))
-    return o.orderBy(fn.nulls_last("st", descending=True), "o_orderkey").limit(12000)
-
-
-@query("order_nulls_last_all", "select o_orderkey, nullif(o_orderstatus, 'F') as st, row_number() over (order by nullif(o_orderstatus, 'F') desc nulls last, o_orderkey) as place from orders")
-def order_nulls_last_all(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("st"), F.floor(F.col("o_orderkey") / 4096).alias("g"))
     return partition.in_order(o, {"st": fn.nulls_last("st", descending=True), "g": F.asc("g")}, F.asc("o_orderkey"), "place").drop("g")
 
@@ -220,15 +202,8 @@ def join_asof(spark, d):
     return joins.asof_join(left, right, ["user_id"], "ts", "ts", ["last_value"]).select("event_id", "user_id", "last_value")
 
 
-@query("join_range", """
-select o_orderkey, p_partkey from orders join part on o_totalprice >= p_retailprice * 100 and o_totalprice < p_retailprice * 100 + 40 where p_size = 1""")
+@query("join_range", "select o_orderkey, p_partkey from orders join part on o_totalprice >= p_retailprice * 100 and o_totalprice < p_retailprice * 100 + 1")
 def join_range(spark, d):
-    parts = table(spark, d, "part").where("p_size = 1").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 40).alias("hi"))
-    return joins.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), parts, "o_totalprice", "lo", "hi", 64.0).select("o_orderkey", "p_partkey")
-
-
-@query("join_range_all", "select o_orderkey, p_partkey from orders join part on o_totalprice >= p_retailprice * 100 and o_totalprice < p_retailprice * 100 + 1")
-def join_range_all(spark, d):
     parts = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 1).alias("hi"))
     return joins.interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), parts, "o_totalprice", "lo", "hi", 2.0).select("o_orderkey", "p_partkey")
 
@@ -279,14 +254,8 @@ def types_wide(spark, d):
     return e.select("event_id", types.wide_number(types.wide_text(big)).alias("big"))
 
 
-@query("types_wide_order", "select event_id, (event_id::hugeint - 50)::varchar as v from events order by event_id::hugeint - 50 desc limit 9000")
+@query("types_wide_order", "select event_id, (event_id::hugeint - 50)::varchar as v, row_number() over (order by event_id::hugeint - 50 desc) as place from events")
 def types_wide_order(spark, d):
-    e = table(spark, d, "events").select("event_id", types.wide_text(F.col("event_id") - 50).alias("w"))
-    return e.orderBy(F.desc("w")).limit(9000).select("event_id", types.wide_number(F.col("w")).alias("v"))
-
-
-@query("types_wide_order_all", "select event_id, (event_id::hugeint - 50)::varchar as v, row_number() over (order by event_id::hugeint - 50 desc) as place from events")
-def types_wide_order_all(spark, d):
     e = table(spark, d, "events").select("event_id", types.wide_text(F.col("event_id") - 50).alias("w")).withColumn("g", F.substring("w", 1, types.WIDE - 2))
     return partition.in_order(e, {"g": F.desc("g")}, F.desc("w"), "place").select("event_id", types.wide_number(F.col("w")).alias("v"), "place")
 
