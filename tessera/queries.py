@@ -15,7 +15,7 @@ from tessera.engine import Engine
 from tessera.operators import joins, merge, partition
 from tessera.operators.merge import Agg
 from tessera.plans import analyze, classify, contains_scan, deal, parallelism, partition_info, passes_plan_gate, passes_text_gate
-from tessera.session import TABLES, Cluster
+from tessera.session import TABLES
 
 #: Declared orders that differ from the alphabet's.
 EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
