@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +84,28 @@ class Scratch:
         self.drop(*(t for k, (t, _) in list(self.paths.items()) if k not in kept))
 
 
+#: Functions whose results a worker keeps: models, and what was worked out with them.
+KEPT: list[Callable] = []
+
+
+def kept(make: Callable) -> Callable:
+    """As functools.cache, and known to fresh()."""
+    cached = functools.cache(make)
+    KEPT.append(cached)
+    return cached
+
+
+def fresh(*needed: Callable) -> None:
+    """A worker serves one operator after another: what it keeps for others than the needed ones goes, and freed memory goes back to the system."""
+    for f in KEPT:
+        if f not in needed and f.cache_info().currsize:
+            f.cache_clear()
+            gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice's texts have ``max_bytes`` at most, or are one text."""
     import numpy as np

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_slices, texts_of
+from tessera.llm.common import fresh, text_slices, texts_of
 
 #: N-grams in a profile.
 PROFILE = 400
@@ -66,6 +66,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", profile:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +130,7 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         model = Profiles(sent.value, length)
         for batch in text_slices(batches, batches_text, 4 << 20):
             found = [model.predict(t) for t in texts_of(batch.column(batches_text))]

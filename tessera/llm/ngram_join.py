@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import Scratch, bytes_of, text_slices
+from tessera.llm.common import Scratch, bytes_of, fresh, text_slices
 from tessera.llm.graph import components
 from tessera.llm.shingles import WORDS, U, mixed, set_keys, shingle_sets
 
@@ -99,6 +99,7 @@ def keyed(df: DataFrame, text_col: str, columns: list[str], words: int) -> DataF
     schema = StructType(at.select(*columns).schema.fields[:]).add("n", "integer").add("k1", "long").add("k2", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in text_slices(batches, 0, SLICE_BYTES):
             sets = shingle_sets(bytes_of(batch.column(0)), words)
             keys = [set_keys(s) for s in sets]
@@ -145,6 +146,7 @@ def rarity(rows: DataFrame, text_col: str, words: int, parts: int) -> DataFrame:
     """For each block the shingles that several classes hold, by part, with a code: 8 * log2 of how many, rounded, 1 at least."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in text_slices(batches, 1, SLICE_BYTES):
             block = batch.column(0).to_numpy()
             sets = shingle_sets(bytes_of(batch.column(1)), words)
@@ -163,6 +165,7 @@ def rarity(rows: DataFrame, text_col: str, words: int, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block[a])), pa.array(part[at]), pa.array(sent, pa.binary()), pa.array(counts, pa.binary())], ["block", "part", "tokens", "codes"])
 
     def count(table: pa.Table) -> pa.Table:
+        fresh()
         sent = [np.frombuffer(x, "<u4") for x in table.column("tokens").to_pylist()]
         counts = [np.ones(len(s), np.int64) if x is None else np.frombuffer(x, "<u4").astype(np.int64) for s, x in zip(sent, table.column("codes").to_pylist(), strict=True)]
         tokens = np.concatenate(sent)
@@ -188,6 +191,7 @@ def prefixes(rows: DataFrame, codes: DataFrame, text_col: str, words: int, least
     kind = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("code", pa.int32())]))
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        fresh()
         out: list[tuple] = []
         names = [U(p) << U(32) | np.frombuffer(t, "<u4").astype(U) for p, t in zip(told.column("part").to_pylist(), told.column("tokens").to_pylist(), strict=True)]
         if names and docs.num_rows:

@@ -11,7 +11,6 @@ Spaces after other characters are such places (in the vocabularies that are read
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -23,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, text_slices, texts_of
+from tessera.llm.common import Memo, fresh, kept, text_slices, texts_of
 
 DEFAULT_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Words, and parts, in each generation of what a worker remembers.
@@ -214,7 +213,7 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
-@functools.cache
+@kept
 def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
@@ -227,6 +226,7 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(piece_model)
         m = piece_model(model)
         for batch in text_slices(batches, 1, 2 << 20):
             ids = m.encode_all(texts_of(batch.column(1)))

@@ -10,7 +10,6 @@ a sequence's lowest pair together, from the left and without overlaps, equals me
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import Memo, text_slices, texts_of
+from tessera.llm.common import Memo, fresh, kept, text_slices, texts_of
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Distinct pre-tokens in each generation of what a worker remembers.
@@ -96,7 +95,7 @@ class MergeTable:
         return [n + sum(map(of, words)) for n, words in zip(extra, split, strict=True)]
 
 
-@functools.cache
+@kept
 def merge_table(path: str) -> MergeTable:
     return MergeTable(path)
 
@@ -109,6 +108,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(merge_table)
         bpe = merge_table(vocabulary)
         for batch in text_slices(batches, 1):
             texts = texts_of(batch.column(1))
