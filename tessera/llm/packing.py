@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_slices, texts_of
+from tessera.llm.common import bytes_of, fresh, text_slices
 from tessera.llm.word_ids import DEFAULT_VOCABULARY, END_ID, word_encoder
 
 
@@ -35,10 +35,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(word_encoder)
         encoder = word_encoder(vocabulary)
         for batch in text_slices(batches, 1):
             rows, start, length, ids, tokens = [], [], [], [], []
-            for row, doc in enumerate(encoder.encode(texts_of(batch.column(1)), end_id)):
+            for row, doc in enumerate(encoder.encode(bytes_of(batch.column(1)), end_id)):
                 lens = binary_lengths(len(doc), longest)
                 at = np.cumsum([0, *lens])
                 rows += [row] * len(lens)

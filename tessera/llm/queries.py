@@ -41,7 +41,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark) + "/ids.orc"
     orc_ids.write_ids(table(spark, sf_dir, "documents"), path)
-    return orc_ids.id_checksums(orc_ids.read_ids(spark, path))
+    return orc_ids.id_checksums(spark, path)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

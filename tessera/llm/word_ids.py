@@ -1,37 +1,37 @@
-"""Ids of the word-level BPE vocabulary through the tokenizers library, an end id after each document.
+"""Ids of the word-level BPE vocabulary as the tokenizers library gives them, an end id after each document.
 
 No token crosses a space or a line feed and normalisation keeps both as white space, so the library's ids of a text are those of the
 chunks between them, one after the other. A worker remembers chunks that it has seen. A new chunk of Latin letters, digits and
-punctuation is split as the library splits it, and only words that are new as well go to the library, many at once: each
-of them ends with an id of a word's end. All other chunks go to the library whole.
+punctuation is split into words as the library splits it; new words are merged by the vocabulary's own merges, all at once.
+All other chunks go to the library whole.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import os
-import re
 
 import numpy as np
 import public_tokenizers
 import regex
 
-from tessera.llm.common import Memo
+from tessera.llm.common import Memo, kept
+from tessera.llm.word_merges import WordMerges
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Chunks, and words (which cost more to work out), in each generation of what a worker remembers.
-MEMO = 300_000
-MEMO_WORDS = 600_000
+#: Chunks and words in each generation of what a worker remembers.
+MEMO = 500_000
 #: How the vocabulary's file splits a chunk.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: The same before lower-casing, for chunks of PLAIN.
 EITHER_CASE = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]" + WORDS[WORDS.index(r"|\p{L}") :]
 #: Chunks of these have no combining marks, and no capital whose lower case has one.
 PLAIN = r"[!-~\u00A1-\u012F]*"
-#: All marks that A to Z compose with are among these.
-MARKS = r"[\u0300-\u036F]"
+#: What special strings begin with.
+SPECIAL = b"<|"
+#: First bytes of U+0300 to U+037F, where all marks are that A to Z compose with.
+MARKS = (b"\xcc", b"\xcd")
 LOWER_A_TO_Z = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 10 else b for b in range(256))
 
 
@@ -49,63 +49,53 @@ class WordEncoder:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x.get("pattern", {}).get("Regex") for x in spec["pre_tokenizer"]["pretokenizers"]]
         self.by_words = kinds[0] == ["NFC", "Replace", "Lowercase"] and str(kinds[1][0]).replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") == WORDS
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.special = "<|"
+        self.merges = WordMerges(spec) if self.by_words else None
         self.split_words, self.plain = regex.compile(EITHER_CASE).findall, regex.compile(PLAIN).fullmatch
-        self.marks = re.compile(MARKS).search
-        self.chunks, self.words = Memo(MEMO), Memo(MEMO_WORDS)
+        self.memo = Memo(MEMO)
 
     def one_by_one(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word's ids, from texts of many words."""
-        out: list[bytes] = []
-        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
-        for part, found in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                out += self.one_by_one(part)
-            else:
-                data, cuts = ids.tobytes(), (4 * cuts).tolist()
-                out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return out
+    def words_of(self, chunk: bytes) -> list[bytes] | None:
+        """The chunk's words in lower case, or None if the library must see it whole."""
+        core, after = (chunk[:-1], [chunk[-1:]]) if chunk[-1:] in (b",", b".", b";", b":") else (chunk, [])
+        if core.isalpha():  # ASCII
+            return [core.lower(), *after]
+        text = chunk.decode()
+        word = text[: len(text) - len(after)]
+        if word.isalpha() and max(word) < "\u0130":
+            return [word.lower().encode(), *after]
+        if SPECIAL not in chunk and self.plain(text):
+            return [w.lower().encode() for w in self.split_words(text)]
+        return None
 
     def learn(self, new: list[bytes]) -> None:
-        whole, split = [], []
-        for chunk in new:
-            text = chunk.decode()
-            core = text[:-1] if text[-1:] in (",", ".", ";", ":") else text
-            if self.by_words and core.isalpha() and max(core) < "\u0130":  # a word, as most chunks are
-                split.append((chunk, [text] if core is text else [core, text[-1]]))
-            elif self.by_words and self.special not in text and self.plain(text):
-                split.append((chunk, self.split_words(text)))
-            else:
-                whole.append((chunk, text))
-        words = self.words.missing(set().union(*(w for _, w in split)))
-        self.words.now.update(zip(words, self.encode_words(words), strict=True))
-        of = self.words.now.__getitem__
-        self.chunks.now.update((chunk, b"".join(map(of, words))) for chunk, words in split)
-        self.chunks.now.update(zip((c for c, _ in whole), self.one_by_one([t for _, t in whole]), strict=True))
-
-    def may_lower(self, text: str) -> bool:
-        return self.special not in text and (text.isascii() or not self.marks(text))
-
-    def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[np.ndarray]:
-        """The ids of each text as little-endian unsigned 32-bit integers, with the end id."""
-        # lower case A to Z is what normalisation makes anyhow, unless the text may hold a special string or a mark that a capital composes with first
-        split = [t.encode().translate(LOWER_A_TO_Z).split(b" ") if self.may_lower(t) else t.encode().replace(b"\n", b" ").split(b" ") for t in texts]
-        new = self.chunks.missing(set().union(*split))
+        """Puts the chunks' ids into the memo. A word's own ids are those of the chunk that is the word, so words are remembered beside the chunks."""
+        split = [(chunk, self.words_of(chunk) if self.by_words else None) for chunk in new]
+        words = self.memo.missing(set().union(*(w for _, w in split if w is not None)), turn=False)
+        if words:
+            self.memo.now.update(zip(words, self.merges.encode(words), strict=True))
+        of = self.memo.now.__getitem__
+        self.memo.now.update((chunk, b"".join(map(of, w))) for chunk, w in split if w is not None and w != [chunk])
+        whole = [chunk for chunk, w in split if w is None]
+        self.memo.now.update(zip(whole, self.one_by_one([c.decode() for c in whole]), strict=True))
+
+    @staticmethod
+    def may_lower(text: bytes) -> bool:
+        """Whether A to Z may be lower-cased up front, as normalisation does later: not if the text may hold a special string or a mark that a capital composes with first."""
+        return SPECIAL not in text and (text.isascii() or not any(lead in text for lead in MARKS))
+
+    def encode(self, texts: list[bytes], end_id: int | None = END_ID) -> list[np.ndarray]:
+        """The ids of each text (UTF-8) as little-endian unsigned 32-bit integers, with the end id."""
+        split = [t.translate(LOWER_A_TO_Z).split(b" ") if self.may_lower(t) else t.replace(b"\n", b" ").split(b" ") for t in texts]
+        new = self.memo.missing(set().union(*split))
         if new:
             self.learn(new)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        of = self.chunks.now.__getitem__
+        of = self.memo.now.__getitem__
         return [np.frombuffer(b"".join(map(of, words)) + end, "<u4") for words in split]
 
 
-@functools.cache
+@kept
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

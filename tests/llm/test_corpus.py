@@ -500,11 +500,57 @@ def test_pipeline(spark):
     latest = {r["text"]: i for i, r in sorted(rows.items())}
     assert {r["doc_id"] for r in kept.collect()} == set(latest.values())
     left = stages["n-gram Jaccard join"](spark, kept, DATA)
-    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(kept).collect()}
+    groups = {i: c for i, (_, c) in similar_by_brute_force([(r["doc_id"], r["text"]) for r in kept.collect()]).items()}
     assert {r["doc_id"] for r in left.collect()} == set(groups.values())
     masked = {r["doc_id"]: r for r in stages["secret scans"](spark, left, DATA).collect()}
     assert set(masked) == set(groups.values())
     for i, r in masked.items():
         assert r["n_chars"] == len(r["text"]) if "<SECRET>" in r["text"] else r["text"] == rows[i]["text"]
-    pieces = corpus_pipeline.run(spark, DATA)
-    assert {r["doc_id"] for r in pieces.collect()} == set(masked)
+    check_pieces(corpus_pipeline.run(spark, DATA).collect(), {i: r["text"] for i, r in masked.items()})
+
+
+def check_pieces(pieces, texts):
+    """Pieces are the binary lengths of each text's ids by the library, with the end id, in order."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for i, text in texts.items():
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        start = 0
+        while start < len(ids):
+            n = min(2048, 1 << (len(ids) - start).bit_length() - 1)
+            want.add((i, start, n, zlib.crc32(struct.pack(f"<{n}I", *ids[start : start + n])), len(ids), 0))
+            start += n
+    got = [(p["doc_id"], p["start"], p["length"], p["ids_crc32"], p["doc_tokens"], p["offset"]) for p in pieces]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({p["sequence_id"] for p in pieces}) == len(pieces)
+
+
+def test_pipeline_odd_rows(spark):
+    prose = "the old house by the sea had seen many better days than this one"
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [
+        (None, "quite other words password = hunter2secretA", "s1", "en"),
+        (7, "one token=AAAAAAA11 end", "s1", "en"),
+        (7, "long before api_key=ZZZZZZ99 end", "s1", None),
+        (7, "long before api_key=ZZZZZZ99 end", "s2", "en"),
+        (8, prose, "s1", "en"),
+        (9, prose.upper(), "s1", "en"),
+        (10, long, "s1", "en"),
+        (11, long + " more", "s2", "en"),
+        (12, None, "s1", "en"),
+        (13, "12 !!", "s1", "en"),
+        (None, None, None, None),
+    ]
+    docs = frame(spark, rows).selectExpr("*", "n as rows", "n as base_", "n as k1")
+    cut = "<SECRET>"
+    want = [(None, f"quite other words {cut}"), (7, f"one {cut} end"), (7, f"long before {cut} end"), (8, prose), (10, long)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == list(corpus_pipeline.COLUMNS), name
+    got = docs.collect()
+    assert sorted(str((r["doc_id"], r["text"], r["n_chars"])) for r in got) == sorted(str((i, t, len(t))) for i, t in want)
+    assert corpus_pipeline.pack(spark, docs, DATA).select("doc_id").distinct().count() == 4
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame(spark, rows).where("false"), DATA).count() == 0
