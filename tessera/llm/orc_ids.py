@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm.common import bytes_of, fresh, text_slices
-from tessera.llm.word_ids import DEFAULT_VOCABULARY, END_ID, word_encoder
+from tessera.llm.word_ids import DEFAULT_VOCABULARY, END_ID, MEMO, word_encoder
 
 OPTIONS = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
 #: Rows of a file at most, about.
@@ -37,6 +37,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh(word_encoder)
         encoder, part, before = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder.memo.limit = MEMO
         for batch in text_slices(batches, 1):
             ids = encoder.encode(bytes_of(batch.column(1)), end_id)
             ends = np.cumsum([0, *map(len, ids)])

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_of, fresh, text_slices
 from tessera.llm.word_ids import DEFAULT_VOCABULARY, END_ID, word_encoder
 
+#: Bytes of text that a worker cuts at once, and chunks in each generation of what it remembers: it shares its executor's memory with what earlier operators left there.
+SLICE, MEMO = 2 << 20, 300_000
+
 
 def binary_lengths(n: int, longest: int) -> list[int]:
     """``n`` as a sum of powers of two, none above ``longest`` (a power of two itself)."""
@@ -24,6 +27,25 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def cut(batches: Iterator[pa.RecordBatch], vocabulary: str, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches of (id, text)."""
+    fresh(word_encoder)
+    encoder = word_encoder(vocabulary)
+    encoder.memo.limit = MEMO
+    for batch in text_slices(batches, 1, SLICE):
+        rows, start, length, ids, tokens = [], [], [], [], []
+        for row, doc in enumerate(encoder.encode(bytes_of(batch.column(1)), end_id)):
+            lens = binary_lengths(len(doc), longest)
+            at = np.cumsum([0, *lens])
+            rows += [row] * len(lens)
+            start += at[:-1].tolist()
+            length += lens
+            tokens += [len(doc)] * len(lens)
+            ids += [doc[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        n = np.array(length, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(n), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(np.log2(n).astype(np.int32))], ["id", "start", "length", "ids", "doc_tokens", "bucket"])
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, longest: int = 2048, end_id: int = END_ID) -> DataFrame:
     """One row per piece: its document's id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, bucket (log2 of the length), sequence_id, offset (0).
 
@@ -34,24 +56,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh(word_encoder)
-        encoder = word_encoder(vocabulary)
-        for batch in text_slices(batches, 1):
-            rows, start, length, ids, tokens = [], [], [], [], []
-            for row, doc in enumerate(encoder.encode(bytes_of(batch.column(1)), end_id)):
-                lens = binary_lengths(len(doc), longest)
-                at = np.cumsum([0, *lens])
-                rows += [row] * len(lens)
-                start += at[:-1].tolist()
-                length += lens
-                tokens += [len(doc)] * len(lens)
-                ids += [doc[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            n = np.array(length, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(n), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(np.log2(n).astype(np.int32))], ["id", "start", "length", "ids", "doc_tokens", "bucket"])
-
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    pieces = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, bucket int").withColumnRenamed("id", id_col)
+    pieces = df.select(id_col, text_col).mapInArrow(lambda batches: cut(batches, vocabulary, longest, end_id), f"id {kind}, start long, length long, ids binary, doc_tokens long, bucket int").withColumnRenamed("id", id_col)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

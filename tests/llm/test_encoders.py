@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import unicodedata
 import zlib
 
@@ -124,6 +126,27 @@ def test_packing(docs, empty, tmp_path):
         packing.pack(docs, longest=100)
 
 
+PACKS_MANY_WORDS = """
+import random, resource, pyarrow as pa
+from tessera.llm import packing
+rng = random.Random(1)
+def batches(n, texts):
+    for _ in range(n):
+        words = [[rng.randbytes(4).hex() for _ in range(30_000)] for _ in range(texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(texts)), pa.array([" ".join(w) for w in words])], ["id", "text"])
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+list(packing.cut(batches(1, 1), packing.DEFAULT_VOCABULARY, 2048, 1))
+before = most()
+assert sum(b.num_rows for b in packing.cut(batches(3, 32), packing.DEFAULT_VOCABULARY, 2048, 1)) > 128
+print(most() - before)
+"""
+
+
+def test_packing_of_ever_new_words_takes_little_memory():
+    took = subprocess.run([sys.executable, "-c", PACKS_MANY_WORDS], capture_output=True, text=True, check=True, timeout=300).stdout
+    assert int(took) < 450  # MB; a worker that cuts 8 MB at once and remembers two times 500,000 words takes more
+
+
 def test_words_are_merged_as_the_library_merges_them():
     import random
 
