@@ -6,6 +6,9 @@ matter, so suffixes are sorted to that depth and no further:
 1. Initial buckets. A window's anchor is its q-gram (GRAM bytes) of the least hash, the leftmost of equals; equal windows have equal anchors at equal places.
    Neighbouring windows with one anchor are a segment, so a document is a row of segments, about one per 16 bytes. Segments meet in buckets
    by anchor; batches of documents send (anchor, content hash, smallest and largest id) once per distinct segment.
+   Before that, batches send only short names of each segment's sides: the anchor with the SIDE bytes before it, and with OTHER_SIDE bytes from its end. A window
+   holds one side or the other whole, so a segment neither of whose sides is in another document has no window that is; it goes no further.
+   Names have SIDE_BITS bits beside their part; those that look the same only let a segment pass that later steps then find alone.
 2. A bucket that holds one document is done: nothing in it repeats. A bucket of several documents but one content is done, too: all its
    windows repeat, first in the smallest id. Contents are told apart by 64 bits beside the anchor's 32 bits and part; among the few contents of one anchor
    two that differ look the same with a probability of about 2**-64 a pair. All others are mixed, and only their distinct segments' bytes are sent on.
@@ -32,6 +35,12 @@ from tessera.llm.shingles import U, mixed
 
 LENGTH = 50
 GRAM = 20
+#: Bytes before an anchor, and behind it, of which a window with that anchor holds the former or the latter.
+SIDE = (LENGTH - GRAM) // 2
+OTHER_SIDE = LENGTH - GRAM - SIDE + 1
+#: Bits of a side's name beside its part: few, so that their differences fit two bytes.
+SIDE_BITS = 28
+NO_SIDE = np.iinfo(U).max
 #: Distinct segments of one anchor, counted per batch, from which a mixed bucket is dealt out by window.
 MANY = 512
 #: Bytes of documents that segments are worked out for at once; a longer document is worked on in parts of this size.
@@ -45,6 +54,8 @@ HEAD = np.array([(1 << 64) - (1 << 8 * (8 - n)) for n in range(9)], U)
 #: Low bits that hold a place among CHUNK bytes.
 PLACE = U((1 << 24) - 1)
 NONE, SAME, MIXED, DEALT = 0, 1, 2, 3
+#: What a message to a batch is about.
+SIDES, ANCHORS, CONTENTS = 0, 1, 2
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -77,16 +88,19 @@ POWERS = Powers()
 
 
 class Texts:
-    """Documents end to end, and their windows' segments: key (of the anchor), content, first window's place, windows, document."""
+    """Documents end to end, and their windows' segments: key (of the anchor), sides' names, content, first window's place, windows, document."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int):
         self.ids, self.texts = ids, texts
         self.at = np.cumsum([0, *map(len, texts)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         found = [self.segments(*piece) for piece in self.pieces()]
-        none = [np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)]
-        anchor, self.content, self.start, self.n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+        none = [np.empty(0, U), np.empty(0, U), np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)]
+        anchor, left, right, self.content, self.start, self.n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
         self.key = part_key(anchor, parts)
+        self.sides = np.concatenate([left, right])
+        there = self.sides != NO_SIDE
+        self.sides[there] = part_key(self.sides[there], parts, SIDE_BITS)
         self.doc = np.searchsorted(self.at, self.start, "right") - 1
         self.doc_id = ids[self.doc] if len(ids) else np.empty(0, np.int64)
 
@@ -119,7 +133,33 @@ class Texts:
             n = np.diff(np.append(new, len(windows)))
             end = start + n + LENGTH - 1
             content = mixed(mixed((sums[end] - sums[start]) * down[start] + n.astype(U)) ^ grams[place[new]])
-        return [grams[place[new]], content, start + low, n]
+            at = place[new]
+            left, right = np.full(len(at), NO_SIDE), np.full(len(at), NO_SIDE)
+            has = at - start >= SIDE
+            left[has] = mixed((sums[at[has] + GRAM] - sums[at[has] - SIDE]) * down[at[has] - SIDE])
+            has = end - at >= GRAM + OTHER_SIDE
+            right[has] = mixed((sums[at[has] + GRAM + OTHER_SIDE] - sums[at[has]]) * down[at[has]])
+        return [grams[at], left, right, content, start + low, n]
+
+    def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct names of the sides, sorted; an order of the sides by name, and where each name starts in it."""
+        there = np.flatnonzero(self.sides != NO_SIDE)
+        order, first = groups_of(self.sides[there])
+        order = there[order]
+        return self.sides[order[first]], order, first
+
+    def keep_shared(self, told: pa.Table) -> Texts:
+        """Only the segments with a side that the parts have found in several documents."""
+        names, order, first = self.names()
+        shared = np.zeros(len(names), bool)
+        bits = {part: data for part, data, what in zip(*(told.column(c).to_pylist() for c in ("part", "data", "what")), strict=True) if what == SIDES}
+        for part, s in by_part(names):
+            shared[s] = np.unpackbits(np.frombuffer(bits[part], np.uint8), count=s.stop - s.start)
+        side = np.zeros(len(self.sides), bool)
+        side[order] = np.repeat(shared, np.diff(np.append(first, len(order))))
+        keep = np.flatnonzero(side[: len(self.key)] | side[len(self.key) :])
+        self.key, self.content, self.start, self.n, self.doc, self.doc_id = (x[keep] for x in (self.key, self.content, self.start, self.n, self.doc, self.doc_id))
+        return self
 
     def bytes_at(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return self.data[ragged(start, length)]
@@ -149,9 +189,9 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return (least & PLACE).astype(np.int64)
 
 
-def part_key(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The part that a hash is dealt to, above its own upper half."""
-    return (hashes % U(parts)) << U(32) | hashes >> U(32)
+def part_key(hashes: np.ndarray, parts: int, bits: int = 32) -> np.ndarray:
+    """The part that a hash is dealt to, above its own upper bits."""
+    return (hashes % U(parts)) << U(32) | hashes >> U(64 - bits)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -207,9 +247,37 @@ def rows(out: list[tuple]) -> pa.Table:
     return pa.table({"part": pa.array(part, pa.int32()), "batch": pa.array(batch, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def send_segments(table: pa.Table, parts: int) -> pa.Table:
-    """A batch's distinct segments to the parts of their anchors."""
+def send_sides(table: pa.Table, parts: int) -> pa.Table:
+    """The names of a batch's sides to their parts, and whether several of its documents have them."""
     t = texts_of_batch(table, parts)
+    names, order, first = t.names()
+    if not len(names):
+        return rows([])
+    ids = t.doc_id[order % len(t.key)]
+    several = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)).astype(np.uint8)
+    batch = table.column("batch")[0].as_py()
+    return rows([(part, batch, packed(np.diff(names[s].astype(np.uint32), prepend=np.uint32(0)), several[s])) for part, s in by_part(names)])
+
+
+def judge_sides(table: pa.Table) -> pa.Table:
+    """For each batch one bit for each name that it sent, in its order: whether several documents have it. What two batches have counts as such."""
+    read = [unpacked(x, np.uint32, np.uint8) for x in table.column("data").to_pylist()]
+    name = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
+    several = np.concatenate([r[1] for r in read]).astype(bool)
+    order, first = groups_of(name)
+    size = np.diff(np.append(first, len(order)))
+    shared = np.empty(len(name), bool)
+    shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(several[order], first), size)
+    cuts = np.cumsum([0, *(len(r[0]) for r in read)])
+    part = table.column("part")[0].as_py()
+    return rows([(part, batch, np.packbits(shared[a:b]).tobytes()) for batch, a, b in zip(table.column("batch").to_pylist(), cuts[:-1], cuts[1:], strict=True)])
+
+
+def send_segments(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
+    """A batch's distinct segments whose sides are shared to the parts of their anchors."""
+    if not table.num_rows or not told.num_rows:
+        return rows([])
+    t = texts_of_batch(table, parts).keep_shared(told)
     at, low, high = distinct(t.content, t.doc_id)
     order = np.argsort(t.key[at], kind="stable")
     at, low, high = at[order], low[order], high[order]
@@ -223,7 +291,7 @@ def send_segments(table: pa.Table, parts: int) -> pa.Table:
 
 
 def judge_anchors(table: pa.Table) -> pa.Table:
-    """Of a part's anchors: which several documents share, whether with one content, and the smallest id; to each batch for its own."""
+    """Of a part's anchors: which several documents share, whether with one content (and which), and the smallest id; to each batch for its own."""
     read = [unpacked(x, np.uint32, U, np.int64, np.int64) for x in table.column("data").to_pylist()]
     key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     content, low, span = (np.concatenate([r[i] for r in read]) for i in (1, 2, 3))
@@ -241,6 +309,7 @@ def judge_anchors(table: pa.Table) -> pa.Table:
     group, to, names = group[told], source[order][told], sorted_key[told]
     part = table.column("part")[0].as_py()
     batches = table.column("batch").to_pylist()
+    one_content = sorted_content[new_key]
     by_batch = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[by_batch], np.arange(len(read) + 1))
     out = []
@@ -249,26 +318,29 @@ def judge_anchors(table: pa.Table) -> pa.Table:
         if len(own):
             keep = np.append(True, names[own][1:] != names[own][:-1])
             g = group[own][keep]
-            out.append((part, batches[b], packed(np.diff(names[own][keep], prepend=np.uint32(0)), kind[g], low_of[g])))
+            out.append((part, batches[b], packed(np.diff(names[own][keep], prepend=np.uint32(0)), kind[g], low_of[g]) + packed(one_content[g[kind[g] == SAME]])))
     return rows(out)
 
 
 class Answers:
-    """What parts have told a batch: of anchors (kind, smallest id), and of contents (their windows' smallest ids, in runs)."""
+    """What parts have told a batch: of anchors (kind, smallest id, the content if there is one), and of contents (their windows' smallest ids, in runs)."""
 
     def __init__(self, table: pa.Table):
-        key, kind, low, content, runs, lengths, ids = [[] for _ in range(7)]
-        for part, data, refined in zip(table.column("part").to_pylist(), table.column("data").to_pylist(), table.column("refined").to_pylist(), strict=True):
-            if refined:
+        key, kind, low, one, content, runs, lengths, ids = [[] for _ in range(8)]
+        for part, data, what in zip(*(table.column(c).to_pylist() for c in ("part", "data", "what")), strict=True):
+            if what == CONTENTS:
                 c, r, rest = unpacked(data, U, np.int32)
                 n, i, _ = unpacked(rest.tobytes(), np.int32, np.int64)
                 content.append(c), runs.append(r), lengths.append(n), ids.append(i)
-            else:
-                k, d, m, _ = unpacked(data, np.uint32, np.uint8, np.int64)
+            elif what == ANCHORS:
+                k, d, m, rest = unpacked(data, np.uint32, np.uint8, np.int64)
+                o = np.zeros(len(k), U)
+                o[d == SAME], _ = unpacked(rest.tobytes(), U)
+                one.append(o)
                 key.append(U(part) << U(32) | np.cumsum(k, dtype=np.uint32).astype(U)), kind.append(d), low.append(m)
         join = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
         order = np.argsort(k := join(key, U))
-        self.key, self.kind, self.low = k[order], join(kind, np.uint8)[order], join(low, np.int64)[order]
+        self.key, self.kind, self.low, self.one = k[order], join(kind, np.uint8)[order], join(low, np.int64)[order], join(one, U)[order]
         order = np.argsort(c := join(content, U), kind="stable")
         n = join(runs, np.int64)
         self.content, self.runs, self.first = c[order], n[order], (np.cumsum(n) - n)[order]
@@ -282,11 +354,13 @@ class Answers:
         at = np.minimum(np.searchsorted(table, names), len(table) - 1)
         return np.where(table[at] == names, at, -1)
 
-    def anchors(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self, key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kind and smallest id of each segment's anchor; a segment of another content than the only one that is shared is alone."""
         at = self.look(self.key, key)
         if not len(self.key):
             return np.zeros(len(key), np.uint8), np.zeros(len(key), np.int64)
-        return np.where(at < 0, NONE, self.kind[at]), self.low[at]
+        kind = np.where(at < 0, NONE, self.kind[at])
+        return np.where((kind == SAME) & (self.one[at] != content), NONE, kind), self.low[at]
 
 
 def dealt_windows(t: Texts, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,11 +370,11 @@ def dealt_windows(t: Texts, segments: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def send_mixed(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
-    """The bytes of a batch's distinct segments in mixed buckets, and of single windows where those are dealt out."""
+    """The bytes of a batch's distinct segments in mixed buckets whose sides are shared, and of single windows where those are dealt out."""
     if not table.num_rows or not told.num_rows:
         return rows([])
-    t = texts_of_batch(table, parts)
-    kind, _ = Answers(told).anchors(t.key)
+    t = texts_of_batch(table, parts).keep_shared(told)
+    kind, _ = Answers(told).anchors(t.key, t.content)
     segments = np.flatnonzero(kind == MIXED)
     at, low, high = distinct(t.content[segments], t.doc_id[segments])
     at = segments[at]
@@ -441,7 +515,7 @@ def cut(table: pa.Table, told: pa.Table, parts: int) -> Iterator[tuple]:
         np.add.at(edge, start + n + LENGTH - 1, -1)
 
     answers = Answers(told)
-    kind, low = answers.anchors(t.key)
+    kind, low = answers.anchors(t.key, t.content)
     same = np.flatnonzero((kind == SAME) & (low < t.doc_id))
     mark(t.start[same], t.n[same])
     segments = np.flatnonzero(kind == MIXED)
@@ -473,10 +547,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
     sent = "part int, batch int, data binary"
-    segments = docs.groupBy("batch").applyInArrow(lambda t: send_segments(t, parts), sent)
-    anchors = segments.groupBy("part").applyInArrow(judge_anchors, sent).withColumn("refined", F.lit(False))
-    mixed_rows = docs.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(lambda a, b: send_mixed(a, b, parts), sent)
-    refined = mixed_rows.groupBy("part").applyInArrow(refine, sent).withColumn("refined", F.lit(True))
+    side_names = docs.groupBy("batch").applyInArrow(lambda t: send_sides(t, parts), sent)
+    sides = side_names.groupBy("part").applyInArrow(judge_sides, sent).withColumn("what", F.lit(SIDES))
+    segments = docs.groupBy("batch").cogroup(sides.groupBy("batch")).applyInArrow(lambda a, b: send_segments(a, b, parts), sent)
+    anchors = segments.groupBy("part").applyInArrow(judge_anchors, sent).withColumn("what", F.lit(ANCHORS))
+    mixed_rows = docs.groupBy("batch").cogroup(sides.union(anchors).groupBy("batch")).applyInArrow(lambda a, b: send_mixed(a, b, parts), sent)
+    refined = mixed_rows.groupBy("part").applyInArrow(refine, sent).withColumn("what", F.lit(CONTENTS))
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         kept, removed, spans = [], [], []

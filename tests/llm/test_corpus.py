@@ -326,6 +326,29 @@ def test_remove_repeats_odd_rows(spark):
     assert suffix_dedup.remove_repeats(frame(spark, rows).where("false")).count() == 0
 
 
+def shuffled(spark, run):
+    """The result of run(), and the bytes that its shuffles wrote."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    return run(), written() - before
+
+
+def test_remove_repeats_sends_little_of_common_words(spark):
+    rng = random.Random(4)
+    words = [rng.randbytes(rng.choice([2, 3, 4, 5])).hex() for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(1000))) for i in range(400)]
+    rows += [(i + 1000, rng.randbytes(100).hex() + t[200:400] + rng.randbytes(100).hex()) for i, t in rows[:20]]
+    got, sent = shuffled(spark, lambda: suffix_dedup.digests(suffix_dedup.remove_repeats(frame(spark, rows))).collect())
+    assert {r[0]: tuple(r[1:]) for r in got} == suffix_dedup.brute_force([(i, t.encode()) for i, t in rows])
+    assert sent < 2.2 * sum(len(t) for _, t in rows)  # most 20-byte strings are in several documents, few 35-byte ones are
+
+
 # TIFF
 
 
