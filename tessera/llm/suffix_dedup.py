@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of
+from tessera.llm.common import bytes_of, fresh, text_slices
 from tessera.llm.shingles import U, mixed
 
 LENGTH = 50
@@ -47,6 +47,8 @@ MANY = 512
 CHUNK = 1 << 20
 #: Bytes of mixed buckets that are refined at once; a larger bucket is refined alone.
 BLOCK = 1 << 20
+#: Bytes of texts that are dealt to batches at once.
+DEAL_BYTES = 16 << 20
 #: Parts that a round refines one after the other.
 PARTS = 4
 #: The first bytes of a big-endian number, by how many.
@@ -54,6 +56,8 @@ HEAD = np.array([(1 << 64) - (1 << 8 * (8 - n)) for n in range(9)], U)
 #: Low bits that hold a place among CHUNK bytes.
 PLACE = U((1 << 24) - 1)
 NONE, SAME, MIXED, DEALT = 0, 1, 2, 3
+#: What texts and messages are shuffled with; Spark's own codec makes them half as large again.
+CODEC, LEVEL = "zstd", 3
 #: What a message to a batch is about.
 SIDES, ANCHORS, CONTENTS = 0, 1, 2
 LOWEST = np.iinfo(np.int64).min
@@ -152,7 +156,7 @@ class Texts:
         """Only the segments with a side that the parts have found in several documents."""
         names, order, first = self.names()
         shared = np.zeros(len(names), bool)
-        bits = {part: data for part, data, what in zip(*(told.column(c).to_pylist() for c in ("part", "data", "what")), strict=True) if what == SIDES}
+        bits = {part: data for part, data, what in zip(told.column("part").to_pylist(), messages(told), told.column("what").to_pylist(), strict=True) if what == SIDES}
         for part, s in by_part(names):
             shared[s] = np.unpackbits(np.frombuffer(bits[part], np.uint8), count=s.stop - s.start)
         side = np.zeros(len(self.sides), bool)
@@ -218,7 +222,40 @@ def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec(CODEC, LEVEL).compress(data, asbytes=True)
+
+
+def messages(table: pa.Table) -> list[bytes]:
+    codec = pa.Codec(CODEC, LEVEL)
+    return [codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in table.column("data").to_pylist()]
+
+
+def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (batch, id, text) as one row per batch, with its ids and texts as a compressed Arrow stream."""
+    fresh()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec(CODEC, LEVEL))
+    for whole in batches:
+        for piece in text_slices(iter([whole]), 2, DEAL_BYTES):
+            to = piece.column(0).to_numpy()
+            order, first = groups_of(to)
+            dealt = pa.table(piece.select(["id", "text"])).take(pa.array(order)).combine_chunks()
+            data = []
+            for a, b in zip(first, [*first[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, dealt.schema, options=options) as out:
+                    out.write_table(dealt.slice(a, b - a))
+                data.append(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(to[order[first]], pa.int32()), pa.array([d.to_pybytes() for d in data], pa.binary())], ["batch", "data"])
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """A batch's ids and texts from the streams that it was dealt."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("data")])
+
+
 def texts_of_batch(table: pa.Table, parts: int) -> Texts:
+    table = opened(table)
     ids = table.column("id").combine_chunks().fill_null(LOWEST).to_numpy(zero_copy_only=False)
     column = table.column("text").combine_chunks()
     return Texts(ids, bytes_of(column), parts)
@@ -244,7 +281,7 @@ def by_part(key: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def rows(out: list[tuple]) -> pa.Table:
     part, batch, data = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"part": pa.array(part, pa.int32()), "batch": pa.array(batch, pa.int32()), "data": pa.array(data, pa.binary())})
+    return pa.table({"part": pa.array(part, pa.int32()), "batch": pa.array(batch, pa.int32()), "data": pa.array(map(squeezed, data), pa.binary())})
 
 
 def send_sides(table: pa.Table, parts: int) -> pa.Table:
@@ -261,7 +298,7 @@ def send_sides(table: pa.Table, parts: int) -> pa.Table:
 
 def judge_sides(table: pa.Table) -> pa.Table:
     """For each batch one bit for each name that it sent, in its order: whether several documents have it. What two batches have counts as such."""
-    read = [unpacked(x, np.uint32, np.uint8) for x in table.column("data").to_pylist()]
+    read = [unpacked(x, np.uint32, np.uint8) for x in messages(table)]
     name = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     several = np.concatenate([r[1] for r in read]).astype(bool)
     order, first = groups_of(name)
@@ -292,7 +329,7 @@ def send_segments(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
 
 def judge_anchors(table: pa.Table) -> pa.Table:
     """Of a part's anchors: which several documents share, whether with one content (and which), and the smallest id; to each batch for its own."""
-    read = [unpacked(x, np.uint32, U, np.int64, np.int64) for x in table.column("data").to_pylist()]
+    read = [unpacked(x, np.uint32, U, np.int64, np.int64) for x in messages(table)]
     key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     content, low, span = (np.concatenate([r[i] for r in read]) for i in (1, 2, 3))
     source = np.repeat(np.arange(len(read)), [len(r[0]) for r in read])
@@ -327,7 +364,7 @@ class Answers:
 
     def __init__(self, table: pa.Table):
         key, kind, low, one, content, runs, lengths, ids = [[] for _ in range(8)]
-        for part, data, what in zip(*(table.column(c).to_pylist() for c in ("part", "data", "what")), strict=True):
+        for part, data, what in zip(table.column("part").to_pylist(), messages(table), table.column("what").to_pylist(), strict=True):
             if what == CONTENTS:
                 c, r, rest = unpacked(data, U, np.int32)
                 n, i, _ = unpacked(rest.tobytes(), np.int32, np.int64)
@@ -458,7 +495,7 @@ def refine(table: pa.Table) -> pa.Table:
 
     Equal windows have equal anchors, so buckets are taken by anchor, BLOCK bytes at a time.
     """
-    read = [unpacked(x, np.uint32, U, np.int32, np.int64, np.int64) for x in table.column("data").to_pylist()]
+    read = [unpacked(x, np.uint32, U, np.int32, np.int64, np.int64) for x in messages(table)]
     key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     content, n, low, span = (np.concatenate([r[i] for r in read]) for i in range(1, 5))
     n = n.astype(np.int64)
@@ -545,7 +582,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     batches = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 2 * batches
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int"))
+    docs = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int").alias("batch"), "id", "text").mapInArrow(deal, "batch int, data binary")
     sent = "part int, batch int, data binary"
     side_names = docs.groupBy("batch").applyInArrow(lambda t: send_sides(t, parts), sent)
     sides = side_names.groupBy("part").applyInArrow(judge_sides, sent).withColumn("what", F.lit(SIDES))
@@ -562,7 +599,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans.append(int((gone & ~np.append(False, gone[:-1])).sum()) if n else 0)
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text)
         n_bytes = [len(k) + r for k, r in zip(kept, removed, strict=True)]
-        ids = table.column("id") if table.num_rows else pa.array([], pa.int64())
+        ids = opened(table).column("id") if table.num_rows else pa.array([], pa.int64())
         return pa.table({"id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     out = docs.groupBy("batch").cogroup(anchors.union(refined).groupBy("batch")).applyInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
