@@ -138,11 +138,15 @@ class Memo:
     def __init__(self, limit: int):
         self.limit, self.now, self.old = limit, {}, {}
 
+    def turn(self) -> None:
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+
     def missing(self, keys: set, turn: bool = True) -> list:
         """Those of the keys that must be worked out and put into ``now``; all others are in there after this. turn: whether the generations may change."""
-        if turn and len(self.now) > self.limit:
-            self.now, self.old = {}, self.now
+        if turn:
+            self.turn()
         new = keys.difference(self.now)
-        again = {k: self.old[k] for k in new.intersection(self.old)} if self.old else {}
+        again = {k: self.old[k] for k in new if k in self.old} if self.old else {}
         self.now.update(again)
         return list(new.difference(again))

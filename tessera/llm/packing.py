@@ -18,7 +18,7 @@ from tessera.llm.common import bytes_of, fresh, text_slices
 from tessera.llm.word_ids import DEFAULT_VOCABULARY, END_ID, word_encoder
 
 #: Bytes of text that a worker cuts at once, and chunks in each generation of what it remembers: it shares its executor's memory with what earlier operators left there.
-SLICE, MEMO = 2 << 20, 300_000
+SLICE, MEMO = 4 << 20, 400_000
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
