@@ -39,10 +39,9 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         encoder, part, before = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
         encoder.memo.limit = MEMO
         for batch in text_slices(batches, 1):
-            ids = encoder.encode(bytes_of(batch.column(1)), end_id)
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids).view(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "part", "part_start", "n_tokens", "ids"])
+            flat, ends = encoder.encode_flat(bytes_of(batch.column(1)), end_id)
+            ends = np.append(0, ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))], ["doc_id", "part", "part_start", "n_tokens", "ids"])
             before += int(ends[-1])
 
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_FILE))

@@ -81,12 +81,16 @@ class WordMerges:
         """The ids of each word (of one byte at least), little-endian unsigned 32-bit."""
         if not words:
             return []
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
+        flat, size = self.merge(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        data, cuts = flat.tobytes(), (4 * np.cumsum(size)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def merge(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that lie end to end, one at least: their ids end to end, and how many each has."""
         ends = np.cumsum(length)
         symbols = self.inside[data]
         symbols[ends - 1] = self.last[data[ends - 1]]
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
         rank = np.full(len(symbols), NO_RANK, np.int32)  # of a symbol and the next of its word
         pair = np.flatnonzero(owner[:-1] == owner[1:])
         rank[pair] = self.table.ranks(symbols[pair], symbols[pair + 1])
@@ -127,6 +131,4 @@ class WordMerges:
             rank[changed] = self.table.ranks(symbols[changed], symbols[changed + 1])
         owners, found = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(owners, kind="stable")
-        data = found[order].astype("<u4").tobytes()
-        cuts = (4 * np.cumsum(np.bincount(owners, minlength=len(words)))).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return found[order].astype("<u4"), np.bincount(owners, minlength=len(length))

@@ -86,6 +86,36 @@ def test_word_ids_of_capitals_and_marks(text):
     assert got[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_word_ids_of_chunks_of_any_kind_equal_the_library():
+    import random
+
+    rng = random.Random(5)
+    signs = "''''stmdrevlSTMDREVL  \n\"!<|>5\u00b2\u00bd\u00aa\u00b5\u00d7\u00df\u00f1\u00e9\u00c9\u012e\u012f\u0130\u212a\u212b\u0307\u0301\u030c\t\r\u00a0\u00ad\u0085\u65e5\u01c5\x7f\x1c.,;:a\U0001f600"
+    texts = ["", " ", "  ", "\n", "'", "'s", "a' '", "re'x're'll 'r", "'s't''d"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    library = Tokenizer.from_file(word_ids.DEFAULT_VOCABULARY)
+    encoder = word_ids.WordEncoder(word_ids.DEFAULT_VOCABULARY)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in encoder.encode([t.encode() for t in texts])] == [[*w, 1] for w in want]
+    flat, ends = encoder.encode_flat([t.encode() for t in texts], None)
+    assert flat.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert encoder.encode([]) == []
+
+
+def test_word_ids_look_up_each_distinct_chunk_of_a_slice_once():
+    class Counted(dict):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+    encoder = word_ids.WordEncoder(word_ids.DEFAULT_VOCABULARY)
+    encoder.memo.now = Counted()
+    one, many = encoder.encode([b"it is, it is"])[0], encoder.encode([b"it is, it is " * 500, b"is it"])[0]
+    assert many.tolist() == one.tolist()[:-1] * 500 + [1]
+    assert encoder.memo.now.looked_up < 20  # 7 distinct ones in two slices; one by one these are 2,007 chunks
+
+
 def test_marks_that_capitals_compose_with_are_noticed():
     forms = [unicodedata.normalize("NFD", chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     marks = {m for f in forms if "A" <= f[0] <= "Z" for m in f[1:]}
