@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_of, fresh, text_slices
 from tessera.llm.word_ids import DEFAULT_VOCABULARY, END_ID, word_encoder
 
-#: Bytes of text that a worker cuts at once, and chunks in each generation of what it remembers: it shares its executor's memory with what earlier operators left there.
-SLICE, MEMO = 4 << 20, 400_000
+#: Bytes of text that a worker cuts at once, and chunks in each generation of what it remembers. It shares its executor's memory with a JVM that earlier operators have
+#: grown: 4 MB and 400,000 chunks take a quarter less CPU time and twice the memory.
+SLICE, MEMO = 1 << 20, 100_000
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:

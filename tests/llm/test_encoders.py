@@ -177,6 +177,26 @@ def test_packing_of_ever_new_words_takes_little_memory():
     assert int(took) < 550  # MB; a worker that cuts 8 MB at once and remembers two times 500,000 words takes more
 
 
+PACKS_BESIDE_AN_EXECUTOR = """
+import random, resource, pyarrow as pa
+from tessera.llm import packing
+rng = random.Random(2)
+def batches(n, texts):
+    for _ in range(n):
+        yield pa.RecordBatch.from_arrays([pa.array(range(texts)), pa.array([rng.randbytes(4 * 30_000).hex(" ", 4) for _ in range(texts)])], ["id", "text"])
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+list(packing.cut(batches(1, 1), packing.DEFAULT_VOCABULARY, 2048, 1))
+before = most()
+assert sum(b.column("length").to_numpy().sum() for b in packing.cut(batches(4, 32), packing.DEFAULT_VOCABULARY, 2048, 1)) > 4 * 32 * 30_000
+print(most() - before)
+"""
+
+
+def test_packing_leaves_an_executor_its_memory():
+    took = subprocess.run([sys.executable, "-c", PACKS_BESIDE_AN_EXECUTOR], capture_output=True, text=True, check=True, timeout=300).stdout
+    assert int(took) < 300  # MB; two such workers and a JVM share an executor; one that cuts 4 MB at once and remembers two times 400,000 chunks takes over 500
+
+
 def test_words_are_merged_as_the_library_merges_them():
     import random
 
