@@ -11,7 +11,8 @@ matter, so suffixes are sorted to that depth and no further:
    Names have SIDE_BITS bits beside their part; those that look the same only let a segment pass that later steps then find alone.
 2. A bucket that holds one document is done: nothing in it repeats. A bucket of several documents but one content is done, too: all its
    windows repeat, first in the smallest id. Contents are told apart by 64 bits beside the anchor's 32 bits and part; among the few contents of one anchor
-   two that differ look the same with a probability of about 2**-64 a pair. All others are mixed, and only their distinct segments' bytes are sent on.
+   two that differ look the same with a probability of about 2**-64 a pair. All others are mixed, and only their distinct segments' bytes are sent on: of a
+   content that several batches have, one is told to send them, and the others send names and ids.
 3. Mixed buckets are refined: positions are put into buckets by 8 bytes, and these are refined by sorting on the bucket pointers at later offsets
    (8, then 16, then LENGTH - 32). Buckets of one are passed over, and new pointers are used at once for the buckets that a round refines later.
    Neighbours' bytes are compared at last. Mixed buckets with very many segments are dealt out by window before that, so no task gets all of one.
@@ -41,12 +42,12 @@ OTHER_SIDE = LENGTH - GRAM - SIDE + 1
 #: Bits of a side's name beside its part: few, so that their differences fit two bytes.
 SIDE_BITS = 28
 NO_SIDE = np.iinfo(U).max
-#: Distinct segments of one anchor, counted per batch, from which a mixed bucket is dealt out by window.
-MANY = 512
-#: Bytes of documents that segments are worked out for at once; a longer document is worked on in parts of this size.
-CHUNK = 1 << 20
-#: Bytes of mixed buckets that are refined at once; a larger bucket is refined alone.
-BLOCK = 1 << 20
+#: Contents of one anchor from which a mixed bucket is dealt out by window, which takes some 12 times its bytes: as many as one task refines in about a second.
+MANY = 1 << 15
+#: Bytes of documents that segments are worked out for at once, so few that their arrays stay in a core's cache; a longer document is worked on in parts of this size.
+CHUNK = 1 << 16
+#: Bytes of mixed buckets that are refined at once; a bucket of half as many or more is refined alone.
+BLOCK = 1 << 16
 #: Bytes of texts that are dealt to batches at once.
 DEAL_BYTES = 16 << 20
 #: Parts that a round refines one after the other.
@@ -328,7 +329,10 @@ def send_segments(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
 
 
 def judge_anchors(table: pa.Table) -> pa.Table:
-    """Of a part's anchors: which several documents share, whether with one content (and which), and the smallest id; to each batch for its own."""
+    """Of a part's anchors: which several documents share, whether with one content (and which), and the smallest id; to each batch for its own.
+
+    Beside them one bit for each segment in a mixed bucket that the batch named, in its order: whether it is the one to send the bytes.
+    """
     read = [unpacked(x, np.uint32, U, np.int64, np.int64) for x in messages(table)]
     key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     content, low, span = (np.concatenate([r[i] for r in read]) for i in (1, 2, 3))
@@ -340,8 +344,16 @@ def judge_anchors(table: pa.Table) -> pa.Table:
     low_of, high_of = np.minimum.reduceat(low[order], new_key), np.maximum.reduceat((low + span)[order], new_key)
     size = np.diff(np.append(new_key, len(order)))
     one = np.logical_and.reduceat(sorted_content == np.repeat(sorted_content[new_key], size), new_key)
-    kind = np.where(low_of == high_of, NONE, np.where(one, SAME, np.where(size <= MANY, MIXED, DEALT))).astype(np.uint8)
     group = np.repeat(np.arange(len(new_key)), size)
+    several = np.flatnonzero(((low_of != high_of) & ~one)[group])
+    copies, first = groups_of(sorted_content[several], group[several])
+    contents = np.bincount(group[several][copies[first]], minlength=len(new_key))
+    kind = np.where(low_of == high_of, NONE, np.where(one, SAME, np.where(contents <= MANY, MIXED, DEALT))).astype(np.uint8)
+    # one batch sends the bytes of each content: any of those that have it, so that none sends more than its share
+    pick = first + (sorted_content[several][copies[first]] % np.diff(np.append(first, len(copies))).astype(U)).astype(np.int64)
+    asked, sends = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    asked[order[several]], sends[order[several][copies[pick]]] = True, True
+    starts = np.cumsum([0, *(len(r[0]) for r in read)])
     told = kind[group] != NONE
     group, to, names = group[told], source[order][told], sorted_key[told]
     part = table.column("part")[0].as_py()
@@ -355,15 +367,18 @@ def judge_anchors(table: pa.Table) -> pa.Table:
         if len(own):
             keep = np.append(True, names[own][1:] != names[own][:-1])
             g = group[own][keep]
-            out.append((part, batches[b], packed(np.diff(names[own][keep], prepend=np.uint32(0)), kind[g], low_of[g]) + packed(one_content[g[kind[g] == SAME]])))
+            here = slice(starts[b], starts[b + 1])
+            bits = np.packbits(sends[here][asked[here]]).tobytes()
+            out.append((part, batches[b], packed(np.diff(names[own][keep], prepend=np.uint32(0)), kind[g], low_of[g]) + packed(one_content[g[kind[g] == SAME]]) + bits))
     return rows(out)
 
 
 class Answers:
-    """What parts have told a batch: of anchors (kind, smallest id, the content if there is one), and of contents (their windows' smallest ids, in runs)."""
+    """What parts have told a batch: of anchors (kind, smallest id, the content if there is one, by part whose bytes to send), and of contents (their windows' smallest ids, in runs)."""
 
     def __init__(self, table: pa.Table):
         key, kind, low, one, content, runs, lengths, ids = [[] for _ in range(8)]
+        self.asked: dict[int, np.ndarray] = {}
         for part, data, what in zip(table.column("part").to_pylist(), messages(table), table.column("what").to_pylist(), strict=True):
             if what == CONTENTS:
                 c, r, rest = unpacked(data, U, np.int32)
@@ -372,7 +387,7 @@ class Answers:
             elif what == ANCHORS:
                 k, d, m, rest = unpacked(data, np.uint32, np.uint8, np.int64)
                 o = np.zeros(len(k), U)
-                o[d == SAME], _ = unpacked(rest.tobytes(), U)
+                o[d == SAME], self.asked[part] = unpacked(rest.tobytes(), U)
                 one.append(o)
                 key.append(U(part) << U(32) | np.cumsum(k, dtype=np.uint32).astype(U)), kind.append(d), low.append(m)
         join = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
@@ -399,6 +414,15 @@ class Answers:
         kind = np.where(at < 0, NONE, self.kind[at])
         return np.where((kind == SAME) & (self.one[at] != content), NONE, kind), self.low[at]
 
+    def sends(self, key: np.ndarray) -> np.ndarray:
+        """Whether to send the bytes of each of the distinct segments in mixed buckets, given by their sorted keys."""
+        out = np.zeros(len(key), bool)
+        for part, s in by_part(key):
+            if len(self.asked[part]) != (s.stop - s.start + 7) // 8:
+                raise ValueError("a part was told of other segments")
+            out[s] = np.unpackbits(self.asked[part], count=s.stop - s.start)
+        return out
+
 
 def dealt_windows(t: Texts, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, key and document id of every window of the segments."""
@@ -407,26 +431,38 @@ def dealt_windows(t: Texts, segments: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def send_mixed(table: pa.Table, told: pa.Table, parts: int) -> pa.Table:
-    """The bytes of a batch's distinct segments in mixed buckets whose sides are shared, and of single windows where those are dealt out."""
+    """A batch's distinct segments in mixed buckets whose sides are shared, or their single windows where those are dealt out; bytes (else no windows) if it is asked for them."""
     if not table.num_rows or not told.num_rows:
         return rows([])
     t = texts_of_batch(table, parts).keep_shared(told)
-    kind, _ = Answers(told).anchors(t.key, t.content)
-    segments = np.flatnonzero(kind == MIXED)
+    answers = Answers(told)
+    kind, _ = answers.anchors(t.key, t.content)
+    segments = np.flatnonzero((kind == MIXED) | (kind == DEALT))
     at, low, high = distinct(t.content[segments], t.doc_id[segments])
-    at = segments[at]
-    single, name, ids = dealt_windows(t, np.flatnonzero(kind == DEALT))
-    w, wlow, whigh = distinct(name, ids)
-    key, content = np.concatenate([t.key[at], part_key(name[w], parts)]), np.concatenate([t.content[at], name[w]])
-    start, n = np.concatenate([t.start[at], single[w]]), np.concatenate([t.n[at], np.ones(len(w), np.int64)])
-    low, span = np.concatenate([low, wlow]), np.concatenate([high - low, whigh - wlow])
+    order = np.argsort(t.key[segments[at]], kind="stable")
+    at, low, high = segments[at[order]], low[order], high[order]
+    sends = answers.sends(t.key[at])
+    d = np.flatnonzero(kind[at] == DEALT)
+    single = ragged(t.start[at[d]], t.n[at[d]])
+    name, owner = t.window_keys(single), np.repeat(d, t.n[at[d]])
+    w, first = groups_of(name)
+    if len(w):
+        wlow, whigh, wsends = np.minimum.reduceat(low[owner[w]], first), np.maximum.reduceat(high[owner[w]], first), np.logical_or.reduceat(sends[owner[w]], first)
+    else:
+        wlow, whigh, wsends = low[:0], high[:0], sends[:0]
+    w = w[first]
+    m = np.flatnonzero(kind[at] == MIXED)
+    key, content = np.concatenate([t.key[at[m]], part_key(name[w], parts)]), np.concatenate([t.content[at[m]], name[w]])
+    start, n = np.concatenate([t.start[at[m]], single[w]]), np.concatenate([t.n[at[m]], np.ones(len(w), np.int64)])
+    low, span, sends = np.concatenate([low[m], wlow]), np.concatenate([high[m] - low[m], whigh - wlow]), np.concatenate([sends[m], wsends])
     order = np.argsort(key, kind="stable")
     batch = table.column("batch")[0].as_py()
     out = []
     for part, s in by_part(key[order]):
         own = order[s]
         names = key[own].astype(np.uint32)
-        out.append((part, batch, packed(np.diff(names, prepend=np.uint32(0)), content[own], n[own].astype(np.int32), low[own], span[own]) + t.bytes_at(start[own], n[own] + LENGTH - 1).tobytes()))
+        bear = own[sends[own]]
+        out.append((part, batch, packed(np.diff(names, prepend=np.uint32(0)), content[own], np.where(sends[own], n[own], 0).astype(np.int32), low[own], span[own]) + t.bytes_at(start[bear], n[bear] + LENGTH - 1).tobytes()))
     return rows(out)
 
 
@@ -498,50 +534,67 @@ def refine(table: pa.Table) -> pa.Table:
     read = [unpacked(x, np.uint32, U, np.int32, np.int64, np.int64) for x in messages(table)]
     key = np.concatenate([np.cumsum(r[0], dtype=np.uint32) for r in read])
     content, n, low, span = (np.concatenate([r[i] for r in read]) for i in range(1, 5))
-    n = n.astype(np.int64)
+    n, high = n.astype(np.int64), low + span
     data = np.concatenate([r[5] for r in read])
-    size = n + LENGTH - 1
+    size = np.where(n > 0, n + LENGTH - 1, 0)
     at = np.cumsum(size) - size
-    order = np.argsort(key, kind="stable")
-    before = np.cumsum(size[order]) - size[order]
-    new_key = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
-    block = np.maximum.accumulate(np.where(new_key, before // BLOCK, 0))
-    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(order)])
+    # what batches have in common is refined once, with the bytes of one of them
+    order, first = groups_of(content, key)
+    if not len(order):
+        return rows([])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    least_low = np.minimum.reduceat(low[order], first)
+    bearer = np.maximum.reduceat(np.where(n[order] > 0, order, -1), first)
+    if (bearer < 0).any():
+        raise ValueError("no batch sent the bytes of a content")
+    key, n, size, at = key[bearer], n[bearer], size[bearer], at[bearer]
+    before = np.cumsum(size) - size
+    bucket = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    block = np.repeat(blocks(np.diff(np.append(before[bucket], size.sum()))), np.diff(np.append(bucket, len(key))))
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     owners, lengths, ids = [], [], []
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
-        e = order[a:b]
+    smallest = np.empty(len(key), np.int64)
+    for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+        e = slice(a, b)
         end = np.cumsum(size[e])
         pointer = bucket_pointers(data[ragged(at[e], size[e])], np.repeat(end, size[e]) - np.arange(end[-1]))
         place = pointer[ragged(end - size[e], n[e])]
-        owner = np.repeat(np.arange(len(e)), n[e])
+        owner = np.repeat(np.arange(a, b), n[e])
         least = np.full(len(pointer), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, low[e][owner])
+        np.minimum.at(least, place, least_low[owner])
         least = least[place]
-        # a window of a content matters if one of the content's documents has a larger id than the window's smallest
-        told = np.logical_or.reduceat(least < (low + span)[e][owner], np.cumsum(n[e]) - n[e])
+        smallest[e] = np.minimum.reduceat(least, np.cumsum(n[e]) - n[e])
         first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])))
-        run = np.diff(np.append(first, len(owner)))
-        keep = told[owner[first]]
-        owners.append(e[owner[first]][keep])
-        lengths.append(run[keep].astype(np.int32))
-        ids.append(least[first][keep])
-    if not owners:
-        return rows([])
-    owner, length, least = np.concatenate(owners), np.concatenate(lengths), np.concatenate(ids)
-    order = np.argsort(owner, kind="stable")
-    owner, length, least = owner[order], length[order], least[order]
+        owners.append(owner[first])
+        lengths.append(np.diff(np.append(first, len(owner))).astype(np.int32))
+        ids.append(least[first])
+    runs = np.bincount(np.concatenate(owners), minlength=len(key))
+    length, least, start = np.concatenate(lengths), np.concatenate(ids), np.cumsum(runs) - runs
     part = table.column("part")[0].as_py()
     ends = np.cumsum([0, *(len(r[0]) for r in read)])
-    cuts = np.searchsorted(owner, ends)
     out = []
-    for b, batch in enumerate(table.column("batch").to_pylist()):
-        own = slice(cuts[b], cuts[b + 1])
-        if cuts[b] < cuts[b + 1]:
-            entry, runs = np.unique(owner[own], return_counts=True)
-            out.append((part, batch, packed(content[entry], runs.astype(np.int32)) + packed(length[own], least[own])))
+    for a, b, batch in zip(ends[:-1], ends[1:], table.column("batch").to_pylist(), strict=True):
+        # a window of a content matters if one of the batch's documents with that content has a larger id than the window's smallest
+        own = a + np.flatnonzero(smallest[of[a:b]] < high[a:b])
+        if len(own):
+            place = ragged(start[of[own]], runs[of[own]])
+            out.append((part, batch, packed(content[own], runs[of[own]].astype(np.int32)) + packed(length[place], least[place])))
     return rows(out)
 
 
+def blocks(size: np.ndarray) -> np.ndarray:
+    """The block of each bucket, given their sizes: as many neighbours as fit BLOCK bytes; a bucket of half a block or more is alone."""
+    out, block, filled = np.empty(len(size), np.int64), 0, 0
+    large = size * 2 >= BLOCK
+    for i, (n, alone) in enumerate(zip(size.tolist(), large.tolist(), strict=True)):
+        if filled and (alone or filled + n > BLOCK):
+            block, filled = block + 1, 0
+        out[i] = block
+        filled = BLOCK if alone else filled + n
+    return out
+
+
 def cut(table: pa.Table, told: pa.Table, parts: int) -> Iterator[tuple]:
     """For each document of the batch the mask of its bytes that go."""
     t = texts_of_batch(table, parts)

@@ -10,6 +10,9 @@ import string
 import struct
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import corpus_pipeline
@@ -349,6 +352,36 @@ def test_remove_repeats_sends_little_of_common_words(spark):
     assert sent < 1.2 * sum(len(t) for _, t in rows)  # most 20-byte strings are in several documents, few 35-byte ones are
 
 
+def mixed_bytes(texts, batches):
+    """Bytes of texts that batches send to be refined, all steps before run as Spark would run them; text i goes to batch i % batches."""
+    dealt = pa.table({"batch": pa.array([i % batches for i in range(len(texts))], pa.int32()), "id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    docs = {b: pa.Table.from_batches(list(suffix_dedup.deal(iter(dealt.filter(pc.equal(dealt["batch"], b)).combine_chunks().to_batches())))) for b in range(batches)}
+    parts = 2 * batches
+
+    def told(sent, by, judge, what):
+        sent = pa.concat_tables(sent)
+        out = pa.concat_tables([judge(sent.filter(pc.equal(sent[by], p))) for p in sorted(set(sent[by].to_pylist()))])
+        return out.append_column("what", pa.array([what] * out.num_rows, pa.int32()))
+
+    at = lambda t, b: t.filter(pc.equal(t["batch"], b))
+    sides = told([suffix_dedup.send_sides(t, parts) for t in docs.values()], "part", suffix_dedup.judge_sides, suffix_dedup.SIDES)
+    anchors = told([suffix_dedup.send_segments(t, at(sides, b), parts) for b, t in docs.items()], "part", suffix_dedup.judge_anchors, suffix_dedup.ANCHORS)
+    both = pa.concat_tables([sides, anchors])
+    sent = [suffix_dedup.send_mixed(t, at(both, b), parts) for b, t in docs.items()]
+    return sum(len(suffix_dedup.unpacked(m, np.uint32, np.uint64, np.int32, np.int64, np.int64)[5]) for t in sent for m in suffix_dedup.messages(t))
+
+
+def test_mixed_buckets_are_sent_once_and_whole():
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    x = letters(3000)
+    y = "".join(c if i % 61 else "." for i, c in enumerate(x))
+    assert 0 < mixed_bytes([x, y] * 20, 5) == mixed_bytes([x, y] * 20, 1)  # two contents an anchor, each in four batches or more
+    line = letters(60)
+    lines = [letters(60) + line + letters(60) for _ in range(700)]
+    assert 0 < mixed_bytes(lines, 1) < 2 * sum(map(len, lines))  # some 700 contents an anchor; as windows they are five times the texts
+
+
 # TIFF
 
 
