@@ -16,7 +16,8 @@ def with_row(df: DataFrame) -> DataFrame:
     """Adds __row, the dense place of each row over all files in order of their paths, and __rows, how many rows there are.
 
     ``df`` has the column _metadata of its scan and may be filtered: places count all rows of the files. Spark knows a row's place in its file; what is
-    before the file comes from the row counts in the files' footers, one row per file, which is broadcast by size like any small table.
+    before the file comes from the row counts in the files' footers, one row per file. That is always broadcast: by size Spark takes it for as large as the
+    table, and would then send all rows of a file to one task.
     """
     files = df.sparkSession.read.schema("c int").parquet(*df.inputFiles()).groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
     every = Window.orderBy("__file")
@@ -24,7 +25,7 @@ def with_row(df: DataFrame) -> DataFrame:
     total = F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     starts = files.select("__file", before.alias("__start"), total.alias(ROWS))
     placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
-    return placed.join(starts, "__file").withColumn(ROW, F.col("__start") + F.col("__index")).drop("__file", "__index", "__start")
+    return placed.join(F.broadcast(starts), "__file").withColumn(ROW, F.col("__start") + F.col("__index")).drop("__file", "__index", "__start")
 
 
 def in_order(df: DataFrame, groups: dict[str, Column], within: Column, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tessera import sources, streaming, types
 from tessera.operators import joins, merge, partition
 from tessera.operators.merge import Agg
 from tessera.plans import contains_scan, deal, partition_info, passes_text_gate
+from tessera.queries import QUERIES
 
 AGGS = [Agg("count", "*", "n"), Agg("sum", "v", "s"), Agg("avg", "v", "a"), Agg("min", "v", "lo"), Agg("max", "v", "hi"), Agg("count_distinct", "v", "d")]
 
@@ -33,6 +34,36 @@ def test_rows_keep_their_places_behind_a_filter(numbers):
     assert some and all(r[partition.ROW] == whole[r["id"]] and r[partition.ROWS] == 5000 for r in some)
 
 
+@pytest.fixture
+def large(spark):
+    """Tables count as too large to be broadcast."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def rows_in_a_task(spark, df):
+    """The most rows that a task gets by a shuffle, of all tasks that df is worked out in."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s for s in map(found.apply, range(found.size())) if s.numCompleteTasks()}
+
+    before = stages()
+    df.write.format("noop").mode("overwrite").save()
+    tasks = [store.taskList(k, s.attemptId(), 10_000) for k, s in stages().items() if k not in before]
+    return max(t.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks for i in range(t.size()))
+
+
+@pytest.mark.parametrize("name", ["part_modulo"])
+def test_rows_of_a_file_are_not_sent_to_one_task(spark, large, name):
+    d = "/root/testdata/sf0.01"
+    assert rows_in_a_task(spark, QUERIES[name](spark, d)) < spark.read.parquet(f"{d}/lineitem.parquet").count() / 3
+
+
 def test_asof_over_buckets_and_odd_rows(spark):
     import random
 
