@@ -58,7 +58,7 @@ def rows_in_a_task(spark, df):
     return max(t.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks for i in range(t.size()))
 
 
-@pytest.mark.parametrize("name", ["part_modulo", "part_range", "part_row_group", "part_small", "merge_ungrouped"])
+@pytest.mark.parametrize("name", ["part_modulo", "part_range", "part_row_group", "part_small", "merge_ungrouped", "merge_distinct"])
 def test_rows_of_a_file_are_not_sent_to_one_task(spark, large, name):
     d = "/root/testdata/sf0.01"
     assert rows_in_a_task(spark, QUERIES[name](spark, d)) < spark.read.parquet(f"{d}/lineitem.parquet").count() / 3
