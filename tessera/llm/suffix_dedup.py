@@ -110,7 +110,7 @@ class Texts:
         self.doc_id = ids[self.doc] if len(ids) else np.empty(0, np.int64)
 
     def pieces(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First and last byte, and the windows' places from there, of about CHUNK bytes: several documents, or part of a longer one."""
+        """First and last byte of about CHUNK bytes, several documents or part of a longer one, and which places from there start a window."""
         first, last = 0, 0
         while first < len(self.texts):
             last = max(first + 1, int(np.searchsorted(self.at, self.at[first] + CHUNK, "right")) - 1)
@@ -118,12 +118,13 @@ class Texts:
             if last == first + 1:
                 for a in range(low, high - LENGTH + 1, CHUNK):
                     b = min(a + CHUNK + LENGTH - 1, high)
-                    yield a, b, np.arange(b - a - LENGTH + 1)
-            else:
-                left = np.repeat(self.at[first + 1 : last + 1] - low, np.diff(self.at[first : last + 1])) - np.arange(high - low)
-                windows = np.flatnonzero(left >= LENGTH)
-                if len(windows):
-                    yield low, high, windows
+                    yield a, b, np.ones(b - a - LENGTH + 1, bool)
+            elif high - low >= LENGTH:
+                windows = np.ones(high - low, bool)
+                tail = np.minimum(np.diff(self.at[first : last + 1]), LENGTH - 1)
+                windows[ragged(self.at[first + 1 : last + 1] - low - tail, tail)] = False
+                if windows.any():
+                    yield low, high, windows[: high - low - LENGTH + 1]
             first = last
 
     def segments(self, low: int, high: int, windows: np.ndarray) -> list[np.ndarray]:
@@ -131,20 +132,21 @@ class Texts:
         with np.errstate(over="ignore"):
             up, down = POWERS.upto(len(data) + 1)
             sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * up[: len(data)], dtype=U)])
-            grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM])
-            place = leftmost_least(grams, LENGTH - GRAM + 1)[windows]
-            new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (np.diff(windows) != 1)))
-            start = windows[new]
-            n = np.diff(np.append(new, len(windows)))
+            grams = (sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM]  # a power's upper bits are spread well enough to tell the least
+            place = leftmost_least(grams, LENGTH - GRAM + 1)
+            cuts = (place[1:] != place[:-1]) | ~windows[1:] | ~windows[:-1]
+            start = np.flatnonzero(windows & np.append(True, cuts))
+            n = np.flatnonzero(windows & np.append(cuts, True)) - start + 1
             end = start + n + LENGTH - 1
-            content = mixed(mixed((sums[end] - sums[start]) * down[start] + n.astype(U)) ^ grams[place[new]])
-            at = place[new]
+            at = place[start]
+            anchor = mixed(grams[at])
+            content = mixed(mixed((sums[end] - sums[start]) * down[start] + n.astype(U)) ^ anchor)
             left, right = np.full(len(at), NO_SIDE), np.full(len(at), NO_SIDE)
             has = at - start >= SIDE
             left[has] = mixed((sums[at[has] + GRAM] - sums[at[has] - SIDE]) * down[at[has] - SIDE])
             has = end - at >= GRAM + OTHER_SIDE
             right[has] = mixed((sums[at[has] + GRAM + OTHER_SIDE] - sums[at[has]]) * down[at[has]])
-        return [grams[at], left, right, content, start + low, n]
+        return [anchor, left, right, content, start + low, n]
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct names of the sides, sorted; an order of the sides by name, and where each name starts in it."""
